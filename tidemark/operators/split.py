@@ -67,6 +67,11 @@ def quota(rows: Column, fraction: float) -> Column:
     return F.least(F.greatest(share, F.lit(1)), rows - 1).cast("long")
 
 
+def split_number(df: DataFrame, seed: int, key: str) -> Column:
+    """The random key of a row; without an id column, of the row as a whole."""
+    return row_key(seed, F.col(key) if key in df.columns else row_hash(df.columns))
+
+
 def _class_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     table = spark.createDataFrame(rows, schema)
     return F.broadcast(table) if len(rows) <= BROADCAST_CLASSES else table
@@ -121,7 +126,7 @@ def plan_split(
     where many rows share a key, down to copies of a single row. One row per
     class comes to the driver.
     """
-    values = df.select(F.col(label).cast("int").alias("label"), row_key(seed, F.col(key)).alias("v"))
+    values = df.select(F.col(label).cast("int").alias("label"), split_number(df, seed, key).alias("v"))
     counts = values.groupBy("label", F.substring("v", 1, DIGITS).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
     sized = counts.withColumn("rows", F.sum("n").over(Window.partitionBy("label")))
     sized = sized.withColumn("k", quota(F.col("rows"), fraction))
@@ -152,7 +157,7 @@ def _cut_shared_keys(df, label, seed, key, shared: dict[int, ClassCut]) -> dict[
     values = (
         df.select(
             F.col(label).cast("int").alias("label"),
-            row_key(seed, F.col(key)).alias("key"),
+            split_number(df, seed, key).alias("key"),
             row_hash(df.columns).alias("v"),
         )
         .join(at_cut, "label")
@@ -174,7 +179,7 @@ def apply_split(df: DataFrame, plan: SplitPlan) -> DataFrame:
         "_label int, _cut string, _tie string, _divide boolean",
     )
     looked_up = df.join(cuts, F.col(plan.label).cast("int") == F.col("_label"))
-    number = row_key(plan.seed, F.col(plan.key))
+    number = split_number(df, plan.seed, plan.key)
     if all(c.tie is None for c in plan.cuts):
         in_train = number <= F.col("_cut")
     else:

@@ -59,10 +59,12 @@ def routed(
     """Both branches in one frame, each row with its own topic.
 
     The source is read and parsed once instead of once per branch. Unreadable
-    payloads pass the model with zero features and their score is discarded.
+    payloads pass the model with zero features, so that it does not skip them,
+    and their score is discarded.
     """
-    scored = score_messages(parse_messages(raw), scorer, features)
-    readable = is_valid()
+    readable, parsed = is_valid(), parse_messages(raw)
+    ids = {c: F.when(readable, F.col(c)).otherwise(F.lit(0)) for c in ("customer_id", "terminal_id")}
+    scored = score_messages(parsed.withColumns(ids), scorer, features)
     return scored.select(
         F.when(readable, F.lit(prediction_topic)).otherwise(F.lit(dead_letter_topic)).alias("topic"),
         F.col("transaction_id").cast("string").alias("key"),
