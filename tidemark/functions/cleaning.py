@@ -35,7 +35,8 @@ def number_column(df: DataFrame, name: str) -> Column:
     kind = NUMERIC_TYPES[name]
     value = F.col(name)
     if dict(df.dtypes)[name] == "string" and kind != "double":
-        value = F.regexp_replace(value, WHOLE_WITH_FRACTION, "${1}0$2")
+        # sign, a 0 in case no digit follows, digits (there is no group 10)
+        value = F.regexp_replace(value, WHOLE_WITH_FRACTION, "$10$2")
     return value.try_cast(kind)
 
 

@@ -40,24 +40,46 @@ MIN_INSTANCES = range(1, 21)
 SUBSETS = ("auto", "sqrt", "log2", "onethird")
 DEFAULT_TRIALS = 20
 
+#: statistics of as many tree nodes as fit here are gathered per pass
+NODE_MEMORY_MB = 512
+#: rows x trees up to which each row's place in each tree is kept between
+#: passes (4 bytes each); beyond that rows walk the trees again
+PLACES_LIMIT = 2_000_000_000
+
 TRIAL_SCHEMA = (
     "trial int, numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, seed int, "
     "fraud_f1 double, fraud_precision double, fraud_recall double, auc double, pr_auc double, weighted_f1 double"
 )
 
 
-def forest_pipeline(params: ForestParams = ForestParams(), features: Iterable[str] = MODEL_FEATURES) -> Pipeline:
+def forest_pipeline(
+    params: ForestParams = ForestParams(),
+    features: Iterable[str] = MODEL_FEATURES,
+    keep_places: bool = False,
+) -> Pipeline:
     """Assembler (rows with null or NaN features are skipped), then the forest."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     forest = RandomForestClassifier(
         labelCol=LABEL,
         featuresCol="features",
         weightCol=WEIGHT,
+        maxMemoryInMB=NODE_MEMORY_MB,
+        cacheNodeIds=keep_places,
         **params.as_dict(),
     )
     return Pipeline(stages=[assembler, forest])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores if the input has fewer partitions than that.
+
+    A fit reads its input once per tree level; an unsplittable file would keep
+    all of it on one core. Inputs with enough partitions stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fit_forest(
     train: DataFrame,
     params: ForestParams = ForestParams(),
@@ -70,7 +92,8 @@ def fit_forest(
     """
     features = list(features)
     weighted, weights = add_class_weights(train.select(*features, LABEL))
-    return forest_pipeline(params, features).fit(weighted), weights
+    keep = (weights.count_0 + weights.count_1) * params.numTrees <= PLACES_LIMIT
+    return forest_pipeline(params, features, keep).fit(spread(weighted)), weights
 
 
 def random_params(seed: int, trial: int) -> ForestParams:

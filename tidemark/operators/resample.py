@@ -25,10 +25,10 @@ def draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
     total = n * iterations
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // DRAWS_PER_TASK))
     numbers = spark.range(0, total, 1, tasks)
-    return numbers.select(
-        F.expr(f"id div {n}").alias("iter_id"),
-        (draw(seed, F.col("id")) % F.lit(n)).alias("row_id"),
-    )
+    # never null, and coalesce says so: a join would otherwise filter on the
+    # whole draw expression, evaluated without sharing its common parts
+    picked = F.coalesce(draw(seed, F.col("id")) % F.lit(n), F.lit(0).cast("long"))
+    return numbers.select(F.expr(f"id div {n}").alias("iter_id"), picked.alias("row_id"))
 
 
 def bootstrap_by_rows(predictions: DataFrame, iterations: int = 100, seed: int = 42) -> DataFrame:
