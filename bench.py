@@ -29,7 +29,7 @@ HEADLINE = (
     "auc_roc",
     "dense_row_id",
     "replay_slots",
-    "replay_batch",
+    "replay_messages",
     "bootstrap_join",
     "bootstrap_cells",
     "ab_test",

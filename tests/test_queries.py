@@ -15,7 +15,7 @@ def test_matches_sql(spark, name):
     assert differences(got, oracle_frame(oracle_sql()[name], SMALL)) is None
 
 
-@pytest.mark.parametrize("name", ["fit_forest_importances", "stored_forest"])
+@pytest.mark.parametrize("name", ["fit_forest", "stored_forest"])
 def test_model_queries_give_rows(spark, name):
     assert queries()[name](spark, SMALL).count() > 0
 

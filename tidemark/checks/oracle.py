@@ -318,7 +318,7 @@ oracle(
     "typed",
 )
 oracle(
-    "fill_zeros",
+    "fill_zero",
     """SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, coalesce(tx_amount, 0) AS tx_amount,
               coalesce(tx_time_seconds, 0) AS tx_time_seconds, coalesce(tx_time_days, 0) AS tx_time_days FROM typed""",
     "typed",
@@ -376,7 +376,7 @@ oracle(
     "sides",
 )
 oracle(
-    "validation_sides",
+    "validation_split",
     """SELECT transaction_id, tx_fraud,
               CASE WHEN vr <= floor(vn * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE))) THEN 'train' ELSE 'test' END AS split
        FROM (SELECT *, count(*) OVER (PARTITION BY tx_fraud) AS vn,
@@ -398,7 +398,7 @@ oracle(
     "tx",
 )
 oracle(
-    "replay_batch",
+    "replay_messages",
     """SELECT CAST(transaction_id AS VARCHAR) AS key,
               first.* REPLACE (strftime(tx_datetime, '%Y-%m-%d %H:%M:%S') AS tx_datetime)
        FROM (SELECT * FROM tx ORDER BY date_trunc('second', tx_datetime), transaction_id LIMIT 5000) AS first""",
@@ -490,7 +490,7 @@ oracle(
     "tested",
 )
 oracle(
-    "score_requests_batch",
+    "score_requests",
     """SELECT transaction_id, tx_amount / CAST(100 AS DOUBLE) AS fraud_probability,
               CASE WHEN tx_amount / CAST(100 AS DOUBLE) >= 0.75 THEN 1 ELSE 0 END AS fraud_prediction FROM tx""",
     "tx",

@@ -47,7 +47,8 @@ DRAIN = {"availableNow": True}
 
 
 def query(function: Query) -> Query:
-    REGISTERED[function.__name__] = function
+    """Register under the function's name; a trailing _ only avoids a clash."""
+    REGISTERED[function.__name__.rstrip("_")] = function
     return function
 
 
@@ -122,7 +123,7 @@ def clean_replay(spark, sf_dir):
 
 
 @query
-def fill_zeros(spark, sf_dir):
+def fill_zero_(spark, sf_dir):
     df = _trimmed(spark, sf_dir)
     amount = cleaning.number_column(df, "tx_amount")
     gaps = F.coalesce(amount, F.lit(float("nan"))).alias("tx_amount")
@@ -228,7 +229,7 @@ def split_quota_summary(spark, sf_dir):
 
 
 @query
-def validation_sides(spark, sf_dir):
+def validation_split_(spark, sf_dir):
     inner = validation_split(inputs.train_side(spark, sf_dir))
     return inner.select("transaction_id", "tx_fraud", "split")
 
@@ -253,7 +254,7 @@ def replay_slots(spark, sf_dir):
 
 
 @query
-def replay_batch(spark, sf_dir):
+def replay_messages_(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     head = replay_messages(tx.withColumn("tx_datetime", F.date_format("tx_datetime", DATETIME_FORMAT)))
     return _parsed_back(head)
@@ -357,6 +358,12 @@ def bootstrap_cells(spark, sf_dir):
     return resample.bootstrap_by_cells(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
 
 
+@query
+def bootstrap_multinomial(spark, sf_dir):
+    """Cell counts drawn as a whole: random, so only rows are compared."""
+    return resample.bootstrap_multinomial(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
+
+
 @query
 def bootstrap_scores(spark, sf_dir):
     counts = resample.bootstrap_by_cells(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
@@ -408,13 +415,13 @@ def ab_test(spark, sf_dir):
 
 
 @query
-def score_requests_batch(spark, sf_dir):
+def score_requests_(spark, sf_dir):
     tx = transactions(spark, sf_dir).drop("tx_fraud", "tx_fraud_scenario", "tx_datetime")
     return score_requests(tx, inputs.scorer_a(), threshold=0.75)
 
 
 @query
-def fit_forest_importances(spark, sf_dir):
+def fit_forest_(spark, sf_dir):
     model, found = fit_forest(inputs.train_side(spark, sf_dir))
     importances = [(c, float(v)) for c, v in zip(MODEL_FEATURES, model.stages[-1].featureImportances.toArray())]
     table = spark.createDataFrame(importances, "feature string, importance double")

@@ -60,11 +60,11 @@ HEAD_LIMIT = 100_000
 
 
 def first_in_order(df: DataFrame, order: list, n: int) -> DataFrame:
-    """The first ``n`` rows in the given order.
+    """The first ``n`` rows in the given order; any ``n`` rows without one.
 
     A short head keeps at most ``n`` rows per task and merges them; a long one
     is a filter on the global rank.
     """
     if n <= HEAD_LIMIT:
-        return df.orderBy(*order).limit(n)
+        return (df.orderBy(*order) if order else df).limit(n)
     return dense_row_ids(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank")

@@ -68,7 +68,8 @@ def alias_registrations(registrations: DataFrame, events: DataFrame | None = Non
 def promotions(aliases: DataFrame, winners: DataFrame, event_seq) -> DataFrame:
     """Alias events that make the current challenger of each winner champion."""
     challengers = aliases.filter(F.col("alias") == CHALLENGER)
-    return challengers.join(winners, "model", "left_semi").select(
+    named = winners.select("model").distinct()
+    return challengers.join(named, "model", "left_semi").select(
         "model", F.lit(CHAMPION).alias("alias"), "version", F.lit(event_seq).cast("long").alias("event_seq")
     )
 

@@ -6,8 +6,10 @@ Draw ``i`` belongs to iteration ``i div n`` and picks row ``draw(i) mod n``:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from tidemark.operators.metrics import CELLS, cell_counts, ratio
 
 #: draws per task; a task keeps running counts only, so this bounds time, not memory
 DRAWS_PER_TASK = 50_000_000
+#: above this many draws cell counts are drawn as a whole instead of one by one
+DRAWS_LIMIT = 10_000_000_000
 SCORES = ("F1", "P", "R")
 
 
@@ -64,6 +68,35 @@ def bootstrap_by_cells(spark: SparkSession, cells: Mapping[str, int], iterations
     return draws(spark, n, iterations, seed).groupBy("iter_id").agg(*counts)
 
 
+def bootstrap_multinomial(spark: SparkSession, cells: Mapping[str, int], iterations: int = 100, seed: int = 42) -> DataFrame:
+    """Confusion cells per iteration, drawn at once from their joint distribution.
+
+    ``n`` picks with replacement fall into the cells as Multinomial(n, sizes/n):
+    the distribution of :func:`bootstrap_by_cells` at a cost that does not grow
+    with ``n``. Each iteration seeds its own generator, so its counts do not
+    depend on the task it runs in.
+    """
+    sizes = np.array([int(cells[c]) for c in CELLS])
+    n = int(sizes.sum())
+    if n == 0:
+        raise ValueError("nothing to resample: all cells are empty")
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            drawn = [np.random.default_rng([seed, i]).multinomial(n, sizes / n) for i in batch["id"]]
+            counts = pd.DataFrame(np.array(drawn).reshape(-1, len(CELLS)), columns=list(CELLS))
+            yield pd.concat([batch["id"].rename("iter_id").reset_index(drop=True), counts], axis=1)
+
+    return spark.range(iterations).mapInPandas(sample, "iter_id long, tp long, fp long, tn long, fn long")
+
+
+def bootstrap(spark: SparkSession, cells: Mapping[str, int], iterations: int = 100, seed: int = 42) -> DataFrame:
+    """The cell bootstrap that suits the size: draw by draw while that is
+    affordable, from the joint distribution beyond."""
+    affordable = sum(int(cells[c]) for c in CELLS) * iterations <= DRAWS_LIMIT
+    return (bootstrap_by_cells if affordable else bootstrap_multinomial)(spark, cells, iterations, seed)
+
+
 def replicate_scores(counts: DataFrame) -> DataFrame:
     """(iter_id, F1, P, R) with 0 where a ratio has nothing below the line."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

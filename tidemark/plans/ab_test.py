@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import apply_scorer
 from tidemark.operators.compare import COMPARED, DEFAULT_ALPHA, compare, decide
 from tidemark.operators.metrics import confusion, evaluate
 from tidemark.operators.registry import Registry
-from tidemark.operators.resample import bootstrap_by_cells, replicate_scores, replicate_stats
+from tidemark.operators.resample import bootstrap, replicate_scores, replicate_stats
 from tidemark.plans.training import load_and_split
 from tidemark.schema import CHALLENGER, CHAMPION, LABEL
 from tidemark.session import materialize
@@ -29,7 +30,7 @@ class AbResult:
 
 def bootstrap_summary(spark, cells: dict[str, int], iterations: int, seed: int) -> DataFrame:
     """Replicate statistics straight from the cells of one scorer."""
-    counts = bootstrap_by_cells(spark, cells, iterations, seed)
+    counts = bootstrap(spark, cells, iterations, seed)
     return replicate_stats(replicate_scores(counts), COMPARED)
 
 
@@ -64,6 +65,21 @@ def compare_scorers(test: DataFrame, base, candidate, threshold=None, **how) ->
     return compare_cells(spark, *sides, **how)
 
 
+def score_both(test: DataFrame, models) -> list[DataFrame]:
+    """(label, score, prediction) of both models, from one pass over the rows."""
+    names = (CHAMPION, CHALLENGER)
+    both = test
+    for name, model in zip(names, models):
+        renamed = {"score": f"{name}_score", "prediction": f"{name}_prediction"}
+        both = apply_scorer(both, model, threshold=None).withColumnsRenamed(renamed)
+    both = both.select(LABEL, *[f"{n}_{c}" for n in names for c in ("score", "prediction")])
+    stored = materialize(both, "scored")
+    return [
+        stored.select(LABEL, F.col(f"{n}_score").alias("score"), F.col(f"{n}_prediction").alias("prediction"))
+        for n in names
+    ]
+
+
 def run_ab_test(
     spark: SparkSession,
     path: str,
@@ -84,10 +100,7 @@ def run_ab_test(
     if any(m is None for m in models):
         return None
     _, test, _ = load_and_split(spark, path, declared)
-    scored = [
-        materialize(apply_scorer(test, m, threshold=None).select(LABEL, "score", "prediction"), "scored")
-        for m in models
-    ]
+    scored = score_both(test, models)
     comparison = compare_cells(spark, *[cells_of(s) for s in scored], iterations, alpha, seed)
     comparison = materialize(comparison, "comparison")
     decision = decide(comparison).first()

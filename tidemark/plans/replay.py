@@ -31,7 +31,7 @@ def replay_messages(
     """(key, value) messages of the first rows, by event time if ``ordered``,
     else of any rows. ``max_messages=None`` replays all."""
     if max_messages is not None:
-        df = first_in_order(df, time_order(df), max_messages) if ordered else df.limit(max_messages)
+        df = first_in_order(df, time_order(df) if ordered else [], max_messages)
     return to_messages(df, key)
 
 

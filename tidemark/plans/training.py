@@ -15,7 +15,7 @@ from tidemark.operators.registry import Registry
 from tidemark.operators.split import side, stratified_split
 from tidemark.schema import LABEL, MODEL_FEATURES, WEIGHT
 from tidemark.session import materialize
-from tidemark.sources.files import load_transactions
+from tidemark.sources.files import batch_format, load_transactions
 from tidemark.sources.models import save_model
 
 MODES = ("baseline", "tuned")
@@ -31,8 +31,13 @@ class TrainingResult:
 
 
 def load_features(spark: SparkSession, path: str, declared: str = "auto") -> DataFrame:
-    """Cleaned input with features. The split key needs an id column."""
-    return add_features(load_transactions(spark, path, declared))
+    """Cleaned input with features.
+
+    Text is parsed and cleaned once and kept as Parquet; the passes that follow
+    then read only the columns they use.
+    """
+    features = add_features(load_transactions(spark, path, declared))
+    return materialize(features, "features") if batch_format(path, declared) == "txt" else features
 
 
 def load_and_split(spark: SparkSession, path: str, declared: str = "auto", **how) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -63,9 +68,7 @@ def train_model(
 ) -> TrainingResult:
     """Run the whole job; registers the model when a registry is given and a
     model name with it, otherwise only logs the run."""
-    features = load_features(spark, path, declared)
-    split = materialize(stratified_split(features), "training")
-    train, test = side(split, "train"), side(split, "test")
+    train, test, _ = load_and_split(spark, path, declared)
     params, best = choose_params(train, mode, trials)
     model, weights = fit_forest(train, params)
     metrics = evaluation_record(apply_scorer(test, model, threshold=None))
