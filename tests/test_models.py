@@ -15,7 +15,7 @@ from tidemark.plans.training import choose_params, train_model
 from tidemark.schema import MODEL_FEATURES, REQUEST_SCHEMA
 from tidemark.session import scratch_path
 from tidemark.sources import files
-from tidemark.sources.models import load_model, save_model
+from tidemark.sources.models import feature_columns, load_model, save_model
 
 TINY = M.ForestParams(numTrees=3, maxDepth=3)
 
@@ -32,6 +32,7 @@ def model(spark):
 
 def test_stored_model_gives_equal_scores(spark, model):
     again = load_model(save_model(model, scratch_path(spark, "m")))
+    assert feature_columns(again) == list(MODEL_FEATURES)
     test = inputs.test_side(spark, SMALL)
     one, two = (apply_scorer(test, m).select("transaction_id", "score") for m in (model, again))
     assert one.exceptAll(two).count() == 0 and one.filter("score < 0 OR score > 1").count() == 0

@@ -153,6 +153,31 @@ def test_s3_settings_need_all_keys():
     assert len(conf) == 6
 
 
+def test_scratch_folder(spark, monkeypatch):
+    from tidemark import session
+
+    class Conf:
+        def __init__(self, root):
+            self.root = root
+
+        def get(self, key, default=None):
+            return self.root if key == "spark.checkpoint.dir" else default
+
+    class Context:
+        def __init__(self, master):
+            self.master, self.applicationId = master, "app-1"
+
+    class Session:
+        def __init__(self, root, master):
+            self.conf, self.sparkContext = Conf(root), Context(master)
+
+    assert session.scratch_root(Session("hdfs://shared/dir/", "yarn")) == "hdfs://shared/dir"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(Session(None, "yarn"))
+    local = Session(None, "local[2]")
+    assert session.scratch_root(local) == session.scratch_root(local)
+
+
 def test_broker_options():
     broker = Broker("h:9091", "u", "p")
     options = source_options(broker, "t")

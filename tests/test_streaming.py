@@ -57,6 +57,11 @@ def test_routed_equals_branches(spark):
     assert rows(one.root) == rows(two.root)
 
 
+def test_routed_parses_each_payload_once(spark):
+    plan = S.routed(inputs.raw_messages(spark, SMALL), inputs.scorer_a())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_restart_adds_nothing(spark):
     source, sink, offsets = inputs.message_files(spark, SMALL), FileSink(scratch_path(spark, "t")), scratch_path(spark, "c")
     for _ in range(2):

@@ -496,6 +496,12 @@ oracle(
     "tx",
 )
 
+oracle(
+    "stored_forest_agrees",
+    "SELECT count(*) AS rows, count(*) AS equal_scores FROM sides WHERE split = 'test'",
+    "sides",
+)
+
 # --- run log and aliases ------------------------------------------------------------------
 
 oracle(
@@ -555,3 +561,8 @@ oracle(
               count(*) AS rows FROM msg GROUP BY 1""",
     "msg",
 )
+oracle(
+    "stream_forest_agrees",
+    "SELECT count(*) AS rows, count(*) AS equal_scores FROM msg WHERE transaction_id IS NOT NULL",
+    "msg",
+)

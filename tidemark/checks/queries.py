@@ -33,7 +33,7 @@ from tidemark.session import materialize, scratch_path
 from tidemark.sources import files
 from tidemark.sources.models import load_model, save_model
 from tidemark.sources.tables import transactions
-from tidemark.sources.topics import FileSink, read_message_files
+from tidemark.sources.topics import MESSAGE_FRAME, FileSink, read_message_files
 from tidemark.streaming import scoring as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -446,6 +446,21 @@ def stored_forest(spark, sf_dir):
     return apply_scorer(inputs.test_side(spark, sf_dir), load_model(path)).select("transaction_id", "score", "prediction")
 
 
+def _agreement(one: DataFrame, two: DataFrame) -> DataFrame:
+    """How many transactions both frames score, and how many of them alike."""
+    both = one.join(two.select("transaction_id", F.col("score").alias("again")), "transaction_id")
+    alike = F.count_if((F.col("score") == F.col("again")) & F.col("score").between(0, 1))
+    return both.agg(F.count(F.lit(1)).alias("rows"), alike.alias("equal_scores"))
+
+
+@query
+def stored_forest_agrees(spark, sf_dir):
+    """A stored and reloaded model scores the test side as before."""
+    model, test = _small_model(spark, sf_dir), inputs.test_side(spark, sf_dir)
+    again = load_model(save_model(model, scratch_path(spark, "model")))
+    return _agreement(apply_scorer(test, model), apply_scorer(test, again))
+
+
 @query
 def tune_trials(spark, sf_dir):
     return search_forest(inputs.train_side(spark, sf_dir), trials=2)[2]
@@ -580,3 +595,15 @@ def stream_scored_forest(spark, sf_dir):
     valid = messages.valid_messages(messages.parse_messages(_stream(spark, sf_dir)))
     scored = stream.score_messages(valid, model)
     return _drained(spark, scored.select("transaction_id", "score", "prediction"))
+
+
+@query
+def stream_forest_agrees(spark, sf_dir):
+    """The forest scores a stream as it scores the same messages in batch."""
+    model, path = _small_model(spark, sf_dir), inputs.message_files(spark, sf_dir)
+    batch = spark.read.schema(MESSAGE_FRAME).parquet(path)
+    streamed, stored = (
+        stream.score_messages(messages.valid_messages(messages.parse_messages(raw)), model).select("transaction_id", "score")
+        for raw in (read_message_files(spark, path), batch)
+    )
+    return _agreement(_drained(spark, streamed), stored)

@@ -20,8 +20,9 @@ from tidemark.plans import replay as replay_plan
 from tidemark.plans.ab_test import run_ab_test
 from tidemark.plans.requests import score_requests
 from tidemark.plans.training import MODES, train_model
-from tidemark.schema import CHAMPION, MODEL_FEATURES
+from tidemark.schema import CHAMPION
 from tidemark.session import session_builder
+from tidemark.sources.models import feature_columns
 from tidemark.sources.topics import Broker, TopicSink, read_topic
 from tidemark.streaming import scoring as stream
 
@@ -77,19 +78,21 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--trigger-seconds", type=int, default=15)
     score.add_argument("--stop-after-seconds", type=int, default=stream.DEFAULT_RUN_SECONDS)
     score.add_argument("--max-offsets", type=int, help="bound of one micro-batch")
-    score.add_argument("--features", default=",".join(MODEL_FEATURES))
+    score.add_argument("--features", help="comma-separated; those of the model if not given")
     score.add_argument("--separate-queries", action="store_true", help="one query per topic, each reading the source")
 
     requests = job("score-requests", stored, versions)
     requests.add_argument("--output", required=True)
     requests.add_argument("--alias", default=CHAMPION)
     requests.add_argument("--threshold", type=float, default=float(os.environ.get("SCORE_THRESHOLD", "0.5")))
-    requests.add_argument("--features", default=",".join(MODEL_FEATURES))
+    requests.add_argument("--features", help="comma-separated; those of the model if not given")
     return parser
 
 
-def _names(text: str) -> list[str]:
-    return [name.strip() for name in text.split(",") if name.strip()]
+def _features(args, model) -> list[str]:
+    if args.features:
+        return [name.strip() for name in args.features.split(",") if name.strip()]
+    return feature_columns(model)
 
 
 def _s3(args) -> dict[str, str]:
@@ -135,22 +138,22 @@ def run(argv: list[str] | None = None, spark=None) -> None:
         replay_plan.replay_to_topic(spark, args.input, broker, args.topic, args.key_column, args.max_messages)
     elif args.job == "score-stream":
         broker = Broker(args.servers, args.username, args.password)
+        model = _loaded(registry, args)
         start = stream.start_branches if args.separate_queries else stream.start_routed
         queries = start(
             read_topic(spark, broker, args.input_topic, args.max_offsets),
-            _loaded(registry, args),
+            model,
             TopicSink(broker),
             args.checkpoint,
-            _names(args.features),
+            _features(args, model),
             {"processingTime": f"{args.trigger_seconds} seconds"},
             prediction_topic=args.output_topic,
             dead_letter_topic=args.dead_letter_topic,
         )
         stream.run_bounded(queries, args.stop_after_seconds)
     else:
-        answers = score_requests(
-            spark.read.parquet(args.input), _loaded(registry, args), args.threshold, _names(args.features)
-        )
+        model = _loaded(registry, args)
+        answers = score_requests(spark.read.parquet(args.input), model, args.threshold, _features(args, model))
         answers.write.mode("overwrite").parquet(args.output)
 
 

@@ -17,6 +17,9 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: temporary folders of local sessions, by application id
+_LOCAL_ROOTS: dict[str, str] = {}
+
 S3_KEYS = ("endpoint_url", "access_key", "secret_key")
 
 
@@ -53,8 +56,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tidemark-")
+        root = _LOCAL_ROOTS[app]
     return root.rstrip("/")
 
 

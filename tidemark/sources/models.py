@@ -13,3 +13,8 @@ def save_model(model: PipelineModel, path: str) -> str:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def feature_columns(model: PipelineModel) -> list[str]:
+    """The columns a fitted pipeline was trained on, as stored with it."""
+    return list(model.stages[0].getInputCols())
