@@ -127,11 +127,24 @@ def test_dense_ids_with_a_hot_key(spark):
     assert out.transaction_id.nunique() == len(out)
 
 
+def test_copies_spread_over_blocks_when_ordered(spark):
+    from tidemark.operators.ranking import place_in_order
+
+    copies = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("k"))
+    placed = place_in_order(copies, [F.col("k")])
+    assert placed.count() == 200_000
+    ids = dense_row_ids(copies, [F.col("k")])
+    assert ids.agg(F.min("row_id"), F.max("row_id"), F.countDistinct("row_id")).first()[:] == (0, 199_999, 200_000)
+
+
 def test_long_heads_are_cut_by_rank(spark, monkeypatch):
     from tidemark.operators import ranking
 
     tx = transactions(spark, SMALL).select("transaction_id", "tx_amount")
     order = [F.col("tx_amount").desc(), F.col("transaction_id")]
-    short = first_in_order(tx, order, 100).collect()
+    head = first_in_order(tx, order, 100)
+    assert "rangepartitioning" not in head.select(F.to_json(F.struct("*")))._jdf.queryExecution().executedPlan().toString()
+    short = head.collect()
     monkeypatch.setattr(ranking, "HEAD_LIMIT", 10)
+    assert first_in_order(tx, [], 100).count() == 100
     assert {r.transaction_id for r in first_in_order(tx, order, 100).collect()} == {r.transaction_id for r in short}

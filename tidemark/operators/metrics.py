@@ -99,7 +99,7 @@ def score_curve(scored: DataFrame, label: str = LABEL, prediction: str = "predic
     are taken per range block and shifted by the sums of earlier blocks.
     """
     grouped = scored.groupBy("score").agg(*_aliased(_all_counts(label, prediction)))
-    placed = place_in_order(grouped, [F.col("score").desc()], "curve")
+    placed = place_in_order(grouped, [F.col("score").desc()], "curve", unique=True)
     offsets = block_offsets(placed, _pos=F.sum("pos"), _rows=F.sum("rows"))
     earlier = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     in_block = placed.join(F.broadcast(offsets), "block")

@@ -17,15 +17,23 @@ from tidemark.session import materialize
 OFFSET_MASK = (1 << 33) - 1
 
 
-def place_in_order(df: DataFrame, order: list, label: str = "ordered") -> DataFrame:
+def place_in_order(df: DataFrame, order: list, label: str = "ordered", unique: bool = False) -> DataFrame:
     """Add ``block`` and ``place`` so that (block, place) follows ``order``.
 
-    The arrival number is the last sort key: equal keys may then fall into
-    several blocks, so that a hot key does not make one huge block. The result
-    is read back from files, so positions cannot change under a retry.
+    Unless keys are ``unique``, each row first gets an arrival number as last
+    sort key: equal keys may then fall into several blocks, so that a hot key
+    does not make one huge block. The numbers are written out before the
+    shuffle, as a recomputed task could otherwise send a row to another block
+    than before; this also spares the second run of the input that choosing
+    the ranges would cost. The result is read back from files, too, so that
+    positions cannot change under a retry.
     """
-    numbered = df.withColumn("_arrival", F.monotonically_increasing_id())
-    spread = numbered.repartitionByRange(*order, "_arrival").sortWithinPartitions(*order, "_arrival")
+    if unique:
+        numbered, keys = df, list(order)
+    else:
+        numbered = materialize(df.withColumn("_arrival", F.monotonically_increasing_id()), f"{label}-arrivals")
+        keys = [*order, "_arrival"]
+    spread = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
     placed = spread.select(
         *df.columns,
         F.spark_partition_id().alias("block"),
@@ -62,9 +70,11 @@ HEAD_LIMIT = 100_000
 def first_in_order(df: DataFrame, order: list, n: int) -> DataFrame:
     """The first ``n`` rows in the given order; any ``n`` rows without one.
 
-    A short head keeps at most ``n`` rows per task and merges them; a long one
-    is a filter on the global rank.
+    A short head keeps at most ``n`` rows per task and merges them; it is
+    written out there, because a projection on top of the limit can be moved
+    below it by the optimizer, which then sorts the whole table instead. A long
+    head is a filter on the global rank.
     """
     if n <= HEAD_LIMIT:
-        return (df.orderBy(*order) if order else df).limit(n)
+        return materialize(df.orderBy(*order).limit(n), "head") if order else df.limit(n)
     return dense_row_ids(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank")
