@@ -4,13 +4,27 @@ import pytest
 
 from tests.conftest import SMALL
 from tidemark.checks import inputs
-from tidemark.jobs import _parser, run
+from tidemark import session
+from tidemark.jobs import _parser
+from tidemark.jobs import run as run_parsed
 from tidemark.operators.forest import ForestParams
 from tidemark.session import scratch_path
 from tidemark.sources import files
 from tidemark.sources.tables import transactions
 
 
+def run(argv, spark):
+    run_parsed(_parser().parse_args(argv), spark)
+
+
+def test_scratch_tables_are_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_HANDED_OUT", {})
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    assert session.materialize(spark.range(5), "one").count() == 5 and len(list(tmp_path.iterdir())) == 1
+    session.scratch_path(spark, "never-written")
+    assert session.drop_scratch(spark) == 2 and not list(tmp_path.iterdir())
+
+
 def test_train_score_and_compare(spark, monkeypatch, capsys):
     monkeypatch.setattr("tidemark.plans.training.ForestParams", lambda: ForestParams(numTrees=2, maxDepth=2))
     text = files.write_text(inputs.text_transactions(spark, SMALL), scratch_path(spark, "text"))

@@ -54,6 +54,13 @@ def test_more_digits_reach_the_same_cut(spark, monkeypatch):
     assert S.plan_split(tx) == plan
 
 
+def test_many_classes_are_joined_instead_of_broadcast(spark, monkeypatch):
+    tx = transactions(spark, SMALL)
+    want = S.stratified_split(tx).select("transaction_id", "split")
+    monkeypatch.setattr(S, "BROADCAST_CLASSES", 0)
+    assert S.stratified_split(tx).select("transaction_id", "split").exceptAll(want).count() == 0
+
+
 def test_one_id_on_a_third_of_all_rows(spark):
     tx = transactions(spark, SMALL)
     hot = tx.withColumn("transaction_id", F.when(F.col("customer_id") % 3 == 0, F.lit(7)).otherwise(F.col("transaction_id")))

@@ -21,7 +21,7 @@ from tidemark.plans.ab_test import run_ab_test
 from tidemark.plans.requests import score_requests
 from tidemark.plans.training import MODES, train_model
 from tidemark.schema import CHAMPION
-from tidemark.session import session_builder
+from tidemark.session import drop_scratch, session_builder
 from tidemark.sources.models import feature_columns
 from tidemark.sources.topics import Broker, TopicSink, read_topic
 from tidemark.streaming import scoring as stream
@@ -107,9 +107,17 @@ def _loaded(registry: Registry, args):
     return model
 
 
-def run(argv: list[str] | None = None, spark=None) -> None:
+def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
-    spark = spark or session_builder(f"tidemark-{args.job}", _s3(args)).getOrCreate()
+    spark = session_builder(f"tidemark-{args.job}", _s3(args)).getOrCreate()
+    try:
+        run(args, spark)
+    finally:
+        drop_scratch(spark)
+        spark.stop()
+
+
+def run(args, spark) -> None:
     registry = Registry(spark, args.registry) if getattr(args, "registry", None) else None
 
     if args.job == "train":
@@ -158,4 +166,4 @@ def run(argv: list[str] | None = None, spark=None) -> None:
 
 
 if __name__ == "__main__":
-    run()
+    main()

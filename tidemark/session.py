@@ -19,6 +19,8 @@ BASE_CONF = {
 
 #: temporary folders of local sessions, by application id
 _LOCAL_ROOTS: dict[str, str] = {}
+#: scratch paths handed out, by application id
+_HANDED_OUT: dict[str, list[str]] = {}
 
 S3_KEYS = ("endpoint_url", "access_key", "secret_key")
 
@@ -65,7 +67,22 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below :func:`scratch_root`."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables of this application; returns how many.
+
+    For the end of a job: frames that still read them stop working.
+    """
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
 
 
 def materialize(df, label: str):

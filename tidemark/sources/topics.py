@@ -13,6 +13,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+# How the broker authenticates, and where reading starts.
+SECURITY = {
+    "kafka.security.protocol": "SASL_SSL",
+    "kafka.sasl.mechanism": "SCRAM-SHA-512",
+}
+LOGIN_MODULE = "org.apache.kafka.common.security.scram.ScramLoginModule"
+FROM_THE_START = {"startingOffsets": "earliest", "failOnDataLoss": "false"}
+DEFAULT_TRIGGER = {"processingTime": "15 seconds"}
+
 MESSAGE_FRAME = "key string, value string, timestamp timestamp"
 
 
@@ -25,16 +34,8 @@ class Broker:
     password: str = field(repr=False)
 
     def options(self) -> dict[str, str]:
-        login = (
-            "org.apache.kafka.common.security.scram.ScramLoginModule required "
-            f'username="{self.username}" password="{self.password}";'
-        )
-        return {
-            "kafka.bootstrap.servers": self.servers,
-            "kafka.security.protocol": "SASL_SSL",
-            "kafka.sasl.mechanism": "SCRAM-SHA-512",
-            "kafka.sasl.jaas.config": login,
-        }
+        login = f'{LOGIN_MODULE} required username="{self.username}" password="{self.password}";'
+        return {"kafka.bootstrap.servers": self.servers, "kafka.sasl.jaas.config": login, **SECURITY}
 
 
 def source_options(broker: Broker, topic: str, max_offsets: int | None = None) -> dict[str, str]:
@@ -44,13 +45,7 @@ def source_options(broker: Broker, topic: str, max_offsets: int | None = None) -
     retained topic is not a single batch of everything.
     """
     bound = {} if max_offsets is None else {"maxOffsetsPerTrigger": str(max_offsets)}
-    return {
-        **broker.options(),
-        "subscribe": topic,
-        "startingOffsets": "earliest",
-        "failOnDataLoss": "false",
-        **bound,
-    }
+    return {**broker.options(), **FROM_THE_START, **bound, "subscribe": topic}
 
 
 def read_topic(spark: SparkSession, broker: Broker, topic: str, max_offsets: int | None = None) -> DataFrame:
@@ -102,5 +97,5 @@ def start_write(
     Without a ``topic`` each row names its own in a ``topic`` column.
     """
     writer = messages.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-    writer = sink.attach(writer, topic).trigger(**(trigger or {"processingTime": "15 seconds"}))
+    writer = sink.attach(writer, topic).trigger(**(trigger or DEFAULT_TRIGGER))
     return writer.start()
