@@ -54,7 +54,7 @@ def text_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dirty_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows with stray blanks, unreadable amounts and dates, and gaps.
 
-    What goes wrong depends on weekday, hour and terminal of the row.
+    What goes wrong depends on hour and terminal of the row.
     """
     tx = text_transactions(spark, sf_dir)
     terminal, amount, when = F.col("terminal_id").cast("int"), F.col("tx_amount"), F.col("tx_datetime")

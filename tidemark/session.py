@@ -22,22 +22,21 @@ _LOCAL_ROOTS: dict[str, str] = {}
 #: scratch paths handed out, by application id
 _HANDED_OUT: dict[str, list[str]] = {}
 
+# The keys a caller has to give, and the S3A settings beside them.
 S3_KEYS = ("endpoint_url", "access_key", "secret_key")
+S3A_FIXED = {
+    "impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
+    "path.style.access": "true",
+    "connection.ssl.enabled": "true",
+}
 
 
 def s3a_conf(s3: Mapping[str, str] | None) -> dict[str, str]:
     """Hadoop S3A settings, or nothing unless all three keys are given."""
     if not s3 or any(k not in s3 for k in S3_KEYS):
         return {}
-    hadoop = {
-        "impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
-        "endpoint": s3["endpoint_url"],
-        "access.key": s3["access_key"],
-        "secret.key": s3["secret_key"],
-        "path.style.access": "true",
-        "connection.ssl.enabled": "true",
-    }
-    return {f"spark.hadoop.fs.s3a.{k}": v for k, v in hadoop.items()}
+    given = {"endpoint": s3["endpoint_url"], "access.key": s3["access_key"], "secret.key": s3["secret_key"]}
+    return {f"spark.hadoop.fs.s3a.{k}": v for k, v in {**S3A_FIXED, **given}.items()}
 
 
 def session_builder(app: str = "tidemark", s3: Mapping[str, str] | None = None):
