@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.sharding import op2_sharding
+from tidemark.llm.substrings import op1_substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
         op2_sharding,
     )
 }
