@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_substring_dedup,
         op2_sharding,
+        op7_minhash,
     )
 }
 
