@@ -10,8 +10,9 @@ steps before the count avoid that:
   are shuffled are runs of windows, about one per 20 words.
 * A run carries a hash of all the words it covers. Where every run of an anchor
   is the same (copies, the inside of common passages), the least id decides for
-  all its windows at once. Only windows of the other shared anchors are counted
-  one by one, by (anchor, window hash), together 128 bits.
+  all its windows at once. With the other shared anchors that holds among the
+  runs that are the same; the windows of the first of those are counted one by
+  one, by (anchor, window hash), together 128 bits.
 
 A window repeats if its hash also starts in a document with a smaller id. The
 repeated windows of a document are merged into maximal intervals, and the words
@@ -53,8 +54,8 @@ WINDOW = 50
 #: words of the grams among which a window's anchor is chosen
 GRAM = 8
 
-RUNS = "doc_id long, text_key long, anchor long, start int, n int, sig long"
-WINDOWS = "doc_id long, text_key long, anchor long, hash long, start int"
+RUNS = "doc_id long, text_key int, anchor long, start int, n int, sig long"
+WINDOWS = "doc_id long, text_key int, anchor long, hash long, start int"
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<start:int,stop:int>>"
 
 
@@ -193,9 +194,18 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         .select("anchor", F.col("min_doc_id").alias("first_doc"), F.expr("min_sig = max_sig").alias("alike"))
     )
     hits = runs.join(shared, "anchor")
-    whole = hits.where("alike and doc_id > first_doc").select("doc_id", "text_key", "start", "n")
     listed_ = F.collect_list(F.struct("start", "n")).alias("runs")
-    open_ = hits.where("not alike").groupBy("doc_id", "text_key").agg(listed_)
+    # of runs that are alike, only the first document's needs its windows counted
+    open_ = hits.where("not alike").select("doc_id", "text_key", "anchor", "sig", "start", "n")
+    same = open_.groupBy("anchor", "sig").agg(F.min("doc_id").alias("first_doc"))
+    open_ = open_.join(same, ["anchor", "sig"])
+    whole = (
+        hits.where("alike").select("doc_id", "text_key", "start", "n", "first_doc")
+        .unionByName(open_.select("doc_id", "text_key", "start", "n", "first_doc"))
+        .where("doc_id > first_doc")
+        .drop("first_doc")
+    )
+    open_ = open_.where("doc_id = first_doc").groupBy("doc_id", "text_key").agg(listed_)
     windows = (
         docs.join(open_, ["doc_id", "text_key"])
         .select("doc_id", "text_key", "text", "runs")
@@ -217,7 +227,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: words, removed words, hash of what is kept, and the removed word intervals."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = docs.select("doc_id", F.hash("text").alias("text_key"), "text")
     runs = repeated_runs(texts, window, gram)
     both = texts.join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
     return both.mapInArrow(cut_rows(window), KEPT)
