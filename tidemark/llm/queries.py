@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Query] = {
         op1_substring_dedup,
         op2_sharding,
         op7_minhash,
+        op9_decontaminate,
     )
 }
 

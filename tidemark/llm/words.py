@@ -94,12 +94,17 @@ def slices(batches, column: str = "text", size: int = SLICE_BYTES):
             at = to
 
 
-def words_of(column: pa.Array, lower: bool = False) -> Words:
+#: bytes between words, and bytes between words without punctuation
+BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def words_of(column: pa.Array, lower: bool = False, blank: np.ndarray = BLANK) -> Words:
     """The words of each row; with ``lower``, A-Z become a-z first."""
     data, bounds = text_bytes(column)
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    inside = ~blank[data]
     # a word starts where the byte before is blank or belongs to another row
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[bounds] = True
