@@ -16,9 +16,9 @@ steps before the count avoid that:
 
 A window repeats if its hash also starts in a document with a smaller id. The
 repeated windows of a document are merged into maximal intervals, and the words
-in them go. All of it is one Spark query: counts combine before they are
-shuffled, joins may be split by AQE where an anchor is hot, and the texts are
-shuffled once for all the steps that need them.
+in them go. Counts combine before they are shuffled, and joins may be split by
+AQE where an anchor is hot. The runs with shared anchors are written to the
+shared folder; what follows is one query, which shuffles the texts once.
 
 Defined results: null and empty texts have no words; a document never repeats
 itself, nor another row with the same id; null ids neither lose words nor take
@@ -48,6 +48,7 @@ from tidemark.llm.words import (
     within_rows,
     words_of,
 )
+from tidemark.session import materialize
 
 #: fixed value of the contract
 WINDOW = 50
@@ -193,7 +194,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         .where("min_doc_id < max_doc_id")
         .select("anchor", F.col("min_doc_id").alias("first_doc"), F.expr("min_sig = max_sig").alias("alike"))
     )
-    hits = runs.join(shared, "anchor")
+    hits = materialize(runs.join(shared, "anchor"), "runs")
     listed_ = F.collect_list(F.struct("start", "n")).alias("runs")
     # of runs that are alike, only the first document's needs its windows counted
     open_ = hits.where("not alike").select("doc_id", "text_key", "anchor", "sig", "start", "n")
