@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.neardup import op7_minhash
+from tidemark.llm.packing import op6_packing
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
+from tidemark.llm.token_files import op8_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +20,9 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_substring_dedup,
         op2_sharding,
+        op6_packing,
         op7_minhash,
+        op8_token_files,
         op9_decontaminate,
     )
 }
