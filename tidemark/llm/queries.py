@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.quality_cnn import op10_quality_cnn
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
 from tidemark.llm.token_files import op8_token_files
@@ -24,6 +25,7 @@ QUERIES: dict[str, Query] = {
         op7_minhash,
         op8_token_files,
         op9_decontaminate,
+        op10_quality_cnn,
     )
 }
 
