@@ -13,6 +13,7 @@ from tidemark.llm.quality_cnn import op10_quality_cnn
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
 from tidemark.llm.token_files import op8_token_files
+from tidemark.llm.toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_substring_dedup,
         op2_sharding,
+        op3_toxicity,
         op6_packing,
         op7_minhash,
         op8_token_files,
