@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op9_decontaminate
+from tidemark.llm.isolation import op4_isolation_rules
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.quality_cnn import op10_quality_cnn
@@ -23,6 +24,7 @@ QUERIES: dict[str, Query] = {
         op1_substring_dedup,
         op2_sharding,
         op3_toxicity,
+        op4_isolation_rules,
         op6_packing,
         op7_minhash,
         op8_token_files,
