@@ -105,7 +105,7 @@ def pack_rows(tokenizer: str, length: int, end_id: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, size=1 << 20):
             out: list[tuple] = []
-            texts = encoder(tokenizer, "<u4", False).ids(batch.column("text").to_pylist())
+            texts = encoder(tokenizer, "I", False).ids(batch.column("text").to_pylist())
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 own += end
                 n, start = len(own) // 4, 0

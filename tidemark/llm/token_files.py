@@ -71,7 +71,7 @@ def dictionary_hash(dictionary: bytes) -> str:
 
 def serialized(texts: list[str | None], layout: Layout) -> list[bytes]:
     end = np.array([layout.end_id], dtype=SERIAL).tobytes()
-    return [ids + end for ids in encoder(layout.tokenizer, SERIAL, layout.spaces).ids(texts)]
+    return [ids + end for ids in encoder(layout.tokenizer, "H", layout.spaces).ids(texts)]
 
 
 def train_dictionary(docs: DataFrame, layout: Layout) -> bytes:

@@ -1,11 +1,10 @@
 """Ids of whole texts by a public tokenizer, with what it has already encoded kept.
 
-A text is cut into parts whose encodings do not depend on each other: at single
-spaces and line feeds, and a part that is new further into pieces, at all white space and between
-Latin letters and plain punctuation. Parts and pieces repeat far more often than
-texts, so each is encoded once while it stays in use and its ids are looked up
-after that. Texts that hold a special token of the tokenizer go to it whole,
-because cutting there could differ. The result is that of ``encode(text,
+A text is cut at single spaces and line feeds into parts whose encodings do not
+depend on each other. Parts repeat far more often than texts, so each is encoded
+once while it stays in use and its ids are looked up after that. Texts go to the
+tokenizer whole where cutting could differ: those with a special token of it, and
+those with other white space beside a cut. The result is that of ``encode(text,
 add_special_tokens=False)``.
 """
 
@@ -13,18 +12,15 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import cache
 
-import numpy as np
-
-#: Characters with the White_Space property, which ends a run of other characters.
-WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters and marks between which a text is cut; an apostrophe may belong to what follows, so it is none.
-LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-MARKS = ".,;:!?*$&%#|"
-#: entries in each of the two generations of a lookup; a Python worker has two lookups
-KEEP = 350_000
-#: longer pieces are encoded but not kept
+#: parts in each of the two generations of a Python worker's lookup
+KEEP = 700_000
+#: marks after a word, and how many of them at most are looked up apart; an apostrophe is none, it may bind letters
+MARKS, LONGEST_TAIL = ".,;:!?*$&%#", 4
+#: longer parts are encoded but not kept
 LONGEST = 64
 
 
@@ -47,7 +43,7 @@ class Kept:
     def learn(self, keys: list[str], values: list[bytes]) -> None:
         self.new.update(zip(keys, values, strict=True))
 
-    def forget(self, keys: list[str]) -> None:
+    def forget(self, keys: set[str]) -> None:
         """Drops what is long, once it has been used."""
         for x in keys:
             if len(x) > LONGEST:
@@ -55,37 +51,25 @@ class Kept:
 
 
 class Encoder:
-    """Bytes of little-endian ids (of ``kind``) of texts."""
+    """Bytes of little-endian ids of texts, in unsigned numbers of array type ``kind``."""
 
     def __init__(self, path: str, kind: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype(kind)
-        space = " ?" if spaces else ""
-        self.pieces = re.compile(
-            f"{space}[{LETTERS}]+(?=[{WHITE}{MARKS}]|\\Z)"
-            f"|{space}[{MARKS}]+(?=[{WHITE}A-Za-z0-9]|\\Z)"
-            f"|{space}[^{WHITE}]+" + f"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" * spaces
-        ).findall
+        self.kind = kind
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)).search if special else lambda text: None
+        #: whether the space before a word belongs to it
         self.space = " " if spaces else ""
-        #: ids of parts between two spaces, and of the pieces of a part
-        self.parts, self.known = Kept(), Kept()
+        self.parts = Kept()
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        assert sys.byteorder == "little"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
-
-    def _by_piece(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(text) for text in texts]
-        missing = self.known.missing(set().union(*cut))
-        self.known.learn(missing, self._encode(missing))
-        out = [b"".join(map(self.known.new.__getitem__, x)) for x in cut]
-        self.known.forget(missing)
-        return out
+        return [array(self.kind, x.ids).tobytes() for x in found]
 
     @staticmethod
     def _alone(part: str) -> bool:
@@ -96,29 +80,32 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         texts = [text or "" for text in texts]
         out: list[bytes | None] = [None] * len(texts)
-        plain = []
-        for i, text in enumerate(texts):
-            if self.special(text):
-                out[i] = self._encode([text])[0]
-            else:
-                plain.append(i)
-        cut = {i: texts[i].replace("\n", " \n").split(" ") for i in plain}
-        found = set().union(*(x[1:] for x in cut.values()))
-        missing = [x for x in self.parts.missing(found) if self._alone(x)]
-        self.parts.learn(missing, self._by_piece([x if x[0] == "\n" else self.space + x for x in missing]))
+        cut = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if not self.special(t)}
+        missing = [x for x in self.parts.missing(set().union(*(x[1:] for x in cut.values()))) if self._alone(x)]
+        # letters and the marks after them are encoded apart, so a known word need not be encoded again
+        joined = {}
+        for x in missing:
+            word = x.rstrip(MARKS)
+            if len(word) < len(x) <= len(word) + LONGEST_TAIL and word.isalpha():
+                joined[x] = (word, x[len(word) :])
+        single = {x for x in missing if x not in joined} | {w for w, _ in joined.values() if w not in self.parts.new}
+        tails = {t for _, t in joined.values()}.difference(self.tails)
+        heads = {i: x[0] for i, x in cut.items() if self._alone(x[0])}
+        ask = [x if x[0] == "\n" else self.space + x for x in single] + [*tails] + [*heads.values()]
+        fresh = self._encode(ask)
+        self.parts.learn([*single], fresh[: len(single)])
+        self.tails.update(zip(tails, fresh[len(single) : len(single) + len(tails)], strict=True))
+        self.parts.learn([*joined], [self.parts.new[w] + self.tails[t] for w, t in joined.values()])
+        fresh = fresh[len(single) + len(tails) :]
         get = self.parts.new.__getitem__
-        heads = dict(zip(plain, self._by_piece([x[0] for x in cut.values()]), strict=True))
-        whole = []
-        for i in plain:
-            first, *rest = cut[i]
+        for i, head in zip(heads, fresh, strict=True):
             try:
-                if rest and (not first or first[-1].isspace()):
-                    raise KeyError
-                out[i] = heads[i] + b"".join(map(get, rest))
-            except KeyError:
-                whole.append(i)
-        self.parts.forget(missing)
-        for i, ids in zip(whole, self._by_piece([texts[i] for i in whole]), strict=True):
+                out[i] = head + b"".join(map(get, cut[i][1:]))
+            except KeyError:  # a part that depends on its neighbours
+                continue
+        self.parts.forget({*single, *joined})
+        whole = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
