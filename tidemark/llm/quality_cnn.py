@@ -206,6 +206,20 @@ def quality_scores(docs: DataFrame, net: Network | None) -> DataFrame:
     )
 
 
+def keep_rows(net: Network | None):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = net.tables() if net else None
+        for part in slices(batches):
+            yield part.filter(pa.array(net.scores(part.column("text"), tables) >= TELL)) if net else part
+
+    return rows
+
+
+def keep_good(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of ``docs`` that are told good, with all their columns."""
+    return docs.mapInArrow(keep_rows(net), docs.schema)
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the fitted network."""
     docs = documents(spark, sf_dir)

@@ -10,6 +10,7 @@ from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.isolation import op4_isolation_rules
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
+from tidemark.llm.pii import op5_pii
 from tidemark.llm.quality_cnn import op10_quality_cnn
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
         op2_sharding,
         op3_toxicity,
         op4_isolation_rules,
+        op5_pii,
         op6_packing,
         op7_minhash,
         op8_token_files,
