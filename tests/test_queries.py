@@ -10,7 +10,7 @@ from tests.conftest import SMALL
 
 
 #: operators that pair every row with every other, or leave the JVM per row
-FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
 
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))

@@ -130,7 +130,7 @@ PAYLOADS = [
 def test_payload_reading(spark):
     rows = [(str(i), p) for i, (p, _) in enumerate(PAYLOADS)]
     raw = spark.createDataFrame(rows, "key string, value string").withColumn("timestamp", F.lit("2024-01-01").cast("timestamp"))
-    got = {int(r.kafka_key): r for r in parse_messages(raw).collect()}
+    got = {int(r.message_key): r for r in parse_messages(raw).collect()}
     assert [got[i].transaction_id for i in range(len(PAYLOADS))] == [want for _, want in PAYLOADS]
     assert got[3].tx_amount is None and got[3].tx_time_days == 3
 

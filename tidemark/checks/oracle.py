@@ -77,7 +77,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "msg": (
         ("tx",),
         """
-        SELECT CAST(transaction_id AS VARCHAR) AS kafka_key, tx_datetime AS kafka_timestamp,
+        SELECT CAST(transaction_id AS VARCHAR) AS message_key, tx_datetime AS kafka_timestamp,
                CASE WHEN terminal_id >= 10 THEN transaction_id END AS transaction_id,
                CASE WHEN terminal_id >= 5 THEN strftime(tx_datetime, '%Y-%m-%d %H:%M:%S') END AS tx_datetime,
                CASE WHEN terminal_id >= 5 THEN customer_id END AS customer_id,
@@ -326,7 +326,7 @@ oracle(
 oracle("class_distribution", "SELECT split, tx_fraud, count(*) AS rows FROM sides GROUP BY ALL", "sides")
 oracle("time_features", "SELECT transaction_id, tx_hour, tx_day_of_week, tx_month, is_weekend FROM feat", "feat")
 oracle("features_batch", f"SELECT transaction_id, tx_fraud, {FEATURES} FROM feat", "feat")
-oracle("features_stream", f"SELECT kafka_key, transaction_id, tx_timestamp, {FEATURES} FROM msgfeat", "msgfeat")
+oracle("features_stream", f"SELECT message_key, transaction_id, tx_timestamp, {FEATURES} FROM msgfeat", "msgfeat")
 oracle(
     "request_impute",
     """SELECT transaction_id, customer_id, terminal_id, tx_amount, tx_time_seconds, tx_time_days,
@@ -338,7 +338,7 @@ oracle("latency_seconds", "SELECT transaction_id, terminal_id AS latency_seconds
 
 # --- messages ---------------------------------------------------------------------
 
-oracle("json_parse", f"SELECT kafka_key, {NINE} FROM msg", "msg")
+oracle("json_parse", f"SELECT message_key, {NINE} FROM msg", "msg")
 oracle(
     "json_roundtrip",
     """SELECT CAST(transaction_id AS VARCHAR) AS key,
@@ -401,7 +401,7 @@ oracle(
     "replay_messages",
     """SELECT CAST(transaction_id AS VARCHAR) AS key,
               first.* REPLACE (strftime(tx_datetime, '%Y-%m-%d %H:%M:%S') AS tx_datetime)
-       FROM (SELECT * FROM tx ORDER BY date_trunc('second', tx_datetime), transaction_id LIMIT 5000) AS first""",
+       FROM (SELECT * FROM tx ORDER BY date_trunc('second', tx_datetime), transaction_id) AS first""",
     "tx",
 )
 
@@ -496,6 +496,16 @@ oracle(
     "tx",
 )
 
+oracle(
+    "fit_forest_layout",
+    "SELECT count(*) AS rows, count(*) AS equal_scores FROM sides WHERE split = 'test'",
+    "sides",
+)
+oracle(
+    "score_forest_check",
+    "SELECT count(*) AS rows, count(*) AS in_range, count(*) AS flags_agree FROM sides WHERE split = 'test'",
+    "sides",
+)
 oracle(
     "stored_forest_agrees",
     "SELECT count(*) AS rows, count(*) AS equal_scores FROM sides WHERE split = 'test'",
@@ -520,7 +530,7 @@ STEPS["reg"] = (
     """SELECT 'model-' || customer_id AS model, transaction_id AS version, transaction_id AS event_seq,
               CASE WHEN row_number() OVER (PARTITION BY customer_id ORDER BY transaction_id) = 1
                    THEN 'champion' ELSE 'challenger' END AS alias
-       FROM tx WHERE tx_fraud = 1""",
+       FROM tx""",
 )
 STEPS["cur"] = (
     ("reg",),
@@ -541,9 +551,9 @@ oracle(
 
 # --- streams ---------------------------------------------------------------------------------
 
-oracle("stream_source_rows", "SELECT kafka_key AS key, kafka_timestamp AS timestamp FROM msg", "msg")
-oracle("stream_parse", f"SELECT kafka_key, kafka_timestamp, {NINE} FROM msg", "msg")
-oracle("stream_valid", "SELECT kafka_key, transaction_id FROM msg WHERE transaction_id IS NOT NULL", "msg")
+oracle("stream_source_rows", "SELECT message_key AS key, kafka_timestamp AS timestamp FROM msg", "msg")
+oracle("stream_parse", f"SELECT message_key, kafka_timestamp, {NINE} FROM msg", "msg")
+oracle("stream_valid", "SELECT message_key, transaction_id FROM msg WHERE transaction_id IS NOT NULL", "msg")
 oracle("stream_dead_letter", DEAD_LETTERS, "tx")
 oracle("stream_features", f"SELECT transaction_id, {FEATURES} FROM msgfeat WHERE transaction_id IS NOT NULL", "msgfeat")
 oracle(

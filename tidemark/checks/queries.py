@@ -19,7 +19,7 @@ from tidemark.operators.forest import ForestParams, fit_forest, search_forest
 from tidemark.operators.ranking import dense_row_ids, first_in_order
 from tidemark.operators.split import side, validation_split
 from tidemark.plans.ab_test import cells_of, compare_cells
-from tidemark.plans.replay import DEFAULT_MESSAGES, replay_messages, time_order, time_slots
+from tidemark.plans.replay import replay_messages, time_order, time_slots
 from tidemark.plans.requests import impute_requests, score_requests
 from tidemark.schema import (
     DATETIME_FORMAT,
@@ -41,8 +41,8 @@ REGISTERED: dict[str, Query] = {}
 
 ITERATIONS = 100
 SEED = 42
-#: a forest small enough for queries that are about storing or streaming it
-SMALL_FOREST = ForestParams(numTrees=20, maxDepth=5)
+#: rows of the query about the head of a replay
+HEAD = 5000
 DRAIN = {"availableNow": True}
 
 
@@ -150,7 +150,7 @@ def features_batch(spark, sf_dir):
 @query
 def features_stream(spark, sf_dir):
     parsed = messages.parse_messages(inputs.raw_messages(spark, sf_dir))
-    return add_features(parsed).select("kafka_key", "transaction_id", "tx_timestamp", *MODEL_FEATURES)
+    return add_features(parsed).select("message_key", "transaction_id", "tx_timestamp", *MODEL_FEATURES)
 
 
 @query
@@ -173,7 +173,7 @@ def latency_seconds(spark, sf_dir):
 @query
 def json_parse(spark, sf_dir):
     parsed = messages.parse_messages(inputs.raw_messages(spark, sf_dir))
-    return parsed.select("kafka_key", *TRANSACTION_COLUMNS)
+    return parsed.select("message_key", *TRANSACTION_COLUMNS)
 
 
 def _parsed_back(sent: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def dense_row_id(spark, sf_dir):
 @query
 def replay_first_n(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    return first_in_order(tx, time_order(tx), DEFAULT_MESSAGES)
+    return first_in_order(tx, time_order(tx), HEAD)
 
 
 @query
@@ -256,8 +256,8 @@ def replay_slots(spark, sf_dir):
 @query
 def replay_messages_(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    head = replay_messages(tx.withColumn("tx_datetime", F.date_format("tx_datetime", DATETIME_FORMAT)))
-    return _parsed_back(head)
+    sent = replay_messages(tx.withColumn("tx_datetime", F.date_format("tx_datetime", DATETIME_FORMAT)))
+    return _parsed_back(sent)
 
 
 # --- weights and metrics -------------------------------------------------------
@@ -358,12 +358,6 @@ def bootstrap_cells(spark, sf_dir):
     return resample.bootstrap_by_cells(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
 
 
-@query
-def bootstrap_multinomial(spark, sf_dir):
-    """Cell counts drawn as a whole: random, so only rows are compared."""
-    return resample.bootstrap_multinomial(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
-
-
 @query
 def bootstrap_scores(spark, sf_dir):
     counts = resample.bootstrap_by_cells(spark, _cells(spark, sf_dir)[0], ITERATIONS, SEED)
@@ -428,8 +422,8 @@ def fit_forest_(spark, sf_dir):
     return table.withColumns({k: F.lit(v) for k, v in found.as_dict().items()})
 
 
-def _small_model(spark, sf_dir):
-    return fit_forest(inputs.train_side(spark, sf_dir), SMALL_FOREST)[0]
+def _model(spark, sf_dir):
+    return fit_forest(inputs.train_side(spark, sf_dir))[0]
 
 
 @query
@@ -439,10 +433,30 @@ def score_forest(spark, sf_dir):
     return apply_scorer(side(split, "test"), model).select("transaction_id", "score", "prediction")
 
 
+@query
+def score_forest_check(spark, sf_dir):
+    """How many test rows the default forest scores, and how many scores and flags are in order."""
+    split = materialize(inputs.split_features(spark, sf_dir).select("transaction_id", "split", "tx_fraud", *MODEL_FEATURES), "split")
+    scored = apply_scorer(side(split, "test"), fit_forest(side(split, "train"))[0])
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+        F.count_if((F.col("prediction") == 1) == (F.col("score") >= 0.5)).alias("flags_agree"),
+    )
+
+
+@query
+def fit_forest_layout(spark, sf_dir):
+    """The same forest from two layouts of the training side: equal scores on the test side."""
+    train, test = inputs.train_side(spark, sf_dir), inputs.test_side(spark, sf_dir)
+    models = [fit_forest(train.repartition(n))[0] for n in (3, 7)]
+    return _agreement(*[apply_scorer(test, model) for model in models])
+
+
 @query
 def stored_forest(spark, sf_dir):
     """Scores of a model after storing and loading it."""
-    path = save_model(_small_model(spark, sf_dir), scratch_path(spark, "model"))
+    path = save_model(_model(spark, sf_dir), scratch_path(spark, "model"))
     return apply_scorer(inputs.test_side(spark, sf_dir), load_model(path)).select("transaction_id", "score", "prediction")
 
 
@@ -456,14 +470,14 @@ def _agreement(one: DataFrame, two: DataFrame) -> DataFrame:
 @query
 def stored_forest_agrees(spark, sf_dir):
     """A stored and reloaded model scores the test side as before."""
-    model, test = _small_model(spark, sf_dir), inputs.test_side(spark, sf_dir)
+    model, test = _model(spark, sf_dir), inputs.test_side(spark, sf_dir)
     again = load_model(save_model(model, scratch_path(spark, "model")))
     return _agreement(apply_scorer(test, model), apply_scorer(test, again))
 
 
 @query
 def tune_trials(spark, sf_dir):
-    return search_forest(inputs.train_side(spark, sf_dir), trials=2)[2]
+    return search_forest(inputs.train_side(spark, sf_dir))[2]
 
 
 # --- run log and aliases --------------------------------------------------------
@@ -487,9 +501,8 @@ def run_log_pivot(spark, sf_dir):
 
 
 def _registrations(spark, sf_dir):
-    """One model per customer, one version per labelled transaction."""
-    labelled = transactions(spark, sf_dir).filter("tx_fraud = 1")
-    return labelled.select(
+    """One model per customer, one version per transaction."""
+    return transactions(spark, sf_dir).select(
         F.concat(F.lit("model-"), F.col("customer_id")).alias("model"),
         F.col("transaction_id").alias("version"),
         F.col("transaction_id").alias("event_seq"),
@@ -545,13 +558,13 @@ def stream_source_rows(spark, sf_dir):
 @query
 def stream_parse(spark, sf_dir):
     parsed = _drained(spark, messages.parse_messages(_stream(spark, sf_dir)))
-    return parsed.select("kafka_key", "kafka_timestamp", *TRANSACTION_COLUMNS)
+    return parsed.select("message_key", "kafka_timestamp", *TRANSACTION_COLUMNS)
 
 
 @query
 def stream_valid(spark, sf_dir):
     valid = messages.valid_messages(messages.parse_messages(_stream(spark, sf_dir)))
-    return _drained(spark, valid).select("kafka_key", "transaction_id")
+    return _drained(spark, valid).select("message_key", "transaction_id")
 
 
 @query
@@ -591,7 +604,7 @@ def stream_branches(spark, sf_dir):
 
 @query
 def stream_scored_forest(spark, sf_dir):
-    model = _small_model(spark, sf_dir)
+    model = _model(spark, sf_dir)
     valid = messages.valid_messages(messages.parse_messages(_stream(spark, sf_dir)))
     scored = stream.score_messages(valid, model)
     return _drained(spark, scored.select("transaction_id", "score", "prediction"))
@@ -600,7 +613,7 @@ def stream_scored_forest(spark, sf_dir):
 @query
 def stream_forest_agrees(spark, sf_dir):
     """The forest scores a stream as it scores the same messages in batch."""
-    model, path = _small_model(spark, sf_dir), inputs.message_files(spark, sf_dir)
+    model, path = _model(spark, sf_dir), inputs.message_files(spark, sf_dir)
     batch = spark.read.schema(MESSAGE_FRAME).parquet(path)
     streamed, stored = (
         stream.score_messages(messages.valid_messages(messages.parse_messages(raw)), model).select("transaction_id", "score")

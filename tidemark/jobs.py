@@ -67,7 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     replay = job("replay", stored, broker)
     replay.add_argument("--topic", default=stream.INPUT_TOPIC)
     replay.add_argument("--key-column", default="transaction_id")
-    replay.add_argument("--max-messages", type=int, default=replay_plan.DEFAULT_MESSAGES)
+    replay.add_argument("--max-messages", type=int, help="stop after so many; all messages if not given")
 
     score = job("score-stream", versions, broker)
     score.add_argument("--alias", default=CHAMPION)

@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.functions.scoring import apply_scorer
 from tidemark.operators.metrics import evaluation_record
@@ -45,6 +46,8 @@ NODE_MEMORY_MB = 512
 #: rows x trees up to which each row's place in each tree is kept between
 #: passes (4 bytes each); beyond that rows walk the trees again
 PLACES_LIMIT = 2_000_000_000
+#: rows of a partition of a fit, as long as that takes no more partitions than MOST_PARTS
+ROWS_PER_PART, MOST_PARTS = 10_000, 8192
 
 TRIAL_SCHEMA = (
     "trial int, numTrees int, maxDepth int, minInstancesPerNode int, featureSubsetStrategy string, seed int, "
@@ -70,14 +73,15 @@ def forest_pipeline(
     return Pipeline(stages=[assembler, forest])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all cores if the input has fewer partitions than that.
+def fixed_layout(df: DataFrame, rows: int) -> DataFrame:
+    """Deal rows by their values into partitions whose number follows from ``rows``.
 
-    A fit reads its input once per tree level; an unsplittable file would keep
-    all of it on one core. Inputs with enough partitions stay as they are.
+    Bags are drawn by partition and place in it, so the trees then depend on the
+    rows and the seed, neither on how the input was cut nor on the cluster.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = min(MOST_PARTS, max(1, -(-rows // ROWS_PER_PART)))
+    key = F.xxhash64(*df.columns)
+    return df.repartition(parts, key).sortWithinPartitions(key, *df.columns)
 
 
 def fit_forest(
@@ -87,13 +91,13 @@ def fit_forest(
 ) -> tuple[PipelineModel, ClassWeights]:
     """Weigh the classes and fit. Only features, label and weight are read.
 
-    Trees depend on the row layout as well as on the seed: the same table read
-    in other partitions gives a slightly different forest.
+    Rows are laid out by :func:`fixed_layout` before the fit.
     """
     features = list(features)
     weighted, weights = add_class_weights(train.select(*features, LABEL))
-    keep = (weights.count_0 + weights.count_1) * params.numTrees <= PLACES_LIMIT
-    return forest_pipeline(params, features, keep).fit(spread(weighted)), weights
+    rows = weights.count_0 + weights.count_1
+    keep = rows * params.numTrees <= PLACES_LIMIT
+    return forest_pipeline(params, features, keep).fit(fixed_layout(weighted, rows)), weights
 
 
 def random_params(seed: int, trial: int) -> ForestParams:

@@ -11,8 +11,7 @@ from tidemark.operators.ranking import dense_row_ids, first_in_order
 from tidemark.sources.files import load_replay
 from tidemark.sources.topics import Broker, write_topic_batch
 
-# Default size of a replay and its default pace.
-DEFAULT_MESSAGES = 5000
+# Fixed value: default pace of a replay.
 DEFAULT_RATE = 50
 
 
@@ -25,11 +24,11 @@ def time_order(df: DataFrame) -> list:
 def replay_messages(
     df: DataFrame,
     key: str = "transaction_id",
-    max_messages: int | None = DEFAULT_MESSAGES,
+    max_messages: int | None = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """(key, value) messages of the first rows, by event time if ``ordered``,
-    else of any rows. ``max_messages=None`` replays all."""
+    """(key, value) messages of all rows, or of the first ``max_messages``: by
+    event time if ``ordered``, else of any rows."""
     if max_messages is not None:
         df = first_in_order(df, time_order(df) if ordered else [], max_messages)
     return to_messages(df, key)
@@ -41,7 +40,7 @@ def replay_to_topic(
     broker: Broker,
     topic: str,
     key: str = "transaction_id",
-    max_messages: int | None = DEFAULT_MESSAGES,
+    max_messages: int | None = None,
 ) -> None:
     """Read a stored file and publish it as one batch."""
     write_topic_batch(replay_messages(load_replay(spark, path), key, max_messages), broker, topic)
