@@ -37,6 +37,8 @@ FILTERS, WIDTH, STRIDE, EMBED = 16, 8, 2, 8
 HALF = 128
 PER_CLASS, CHARS = (1200, 1200), 4096
 EPOCHS, BATCH, RATE, SEED = 14, 48, 0.004, 11
+#: small samples are gone through more often
+LEAST_STEPS = 600
 
 SCORES = "doc_id long, score double"
 
@@ -142,7 +144,7 @@ class Network:
         return [d_embed, np.einsum("be,wbf->wef", self.embed, d_tables), d_top.sum(axis=0), d_out]
 
 
-def fit(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> Network | None:
+def fit(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Network | None:
     """A fitted network; None without rows of both labels."""
     if len(set(y.tolist())) < 2:
         return None
@@ -162,6 +164,7 @@ def fit(texts: pa.Array, y: np.ndarray, epochs: int = EPOCHS) -> Network | None:
     first = {k: np.zeros_like(getattr(net, k)) for k in names}
     second = {k: np.zeros_like(getattr(net, k)) for k in names}
     step = 0
+    epochs = max(epochs, -(-least_steps * BATCH // len(train)))
     for epoch in range(epochs):
         rate = RATE * min(1.0, 2 * (1 - epoch / epochs))
         shuffled = random.permutation(train)
@@ -192,7 +195,8 @@ def score_rows(net: Network | None):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network | None:
-    return fit(*labelled_sample(docs, labels, "quality", ~held_out(MODULO, REST), PER_CLASS, CHARS))
+    sample = labelled_sample(docs, labels, "quality", ~held_out(MODULO, REST), PER_CLASS, CHARS)
+    return fit(*sample, EPOCHS, LEAST_STEPS)
 
 
 def quality_scores(docs: DataFrame, net: Network | None) -> DataFrame:

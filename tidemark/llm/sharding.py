@@ -11,7 +11,8 @@ key and cannot be cut. Only then the rows move, once.
 
 Defined results: null text counts as empty (its own hash); null ids are one id;
 rows alike in text and id are never separated; an empty table gives no rows;
-further columns of the input are passed on by :func:`shard_documents`.
+further columns of the input are passed on by :func:`shard_documents`, those named
+like its own (size, shard, slot) are replaced.
 """
 
 from __future__ import annotations
@@ -145,14 +146,18 @@ def part_of(bounds: list[tuple[int, int]], first: int = 0) -> Column:
 
 
 def shard_documents(docs: DataFrame, parts: int = N_SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``docs`` (doc_id and text, or already size and keys) with ``size``, ``shard`` and ``slot``.
+    """``docs`` (doc_id, text and any others) with ``size``, ``shard`` and ``slot``."""
+    k1, k2 = key_pair()
+    return shard_keyed(docs.withColumns({"size": size_of(), "_k1": k1, "_k2": k2}), parts, tolerance)
+
+
+def shard_keyed(keyed: DataFrame, parts: int = N_SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``keyed`` (with size, _k1 and _k2) with ``shard`` and ``slot``, without the keys.
 
     Slots number the rows of a shard from 0 without gaps: rows of a shard fall
     into blocks by a hash of their key, blocks are numbered inside, and a block
     starts where the counts of the earlier blocks end.
     """
-    k1, k2 = key_pair()
-    keyed = docs if "_k1" in docs.columns else docs.withColumns({"size": size_of(), "_k1": k1, "_k2": k2})
     bounds = splitters(keyed.select("_k1", "_k2", F.col("size").alias("_w")), parts, tolerance)
     rows = keyed.withColumn("shard", part_of(bounds).cast("int"))
     blocks = max(1, -(-keyed.count() // (parts * BLOCK_ROWS)))
@@ -182,7 +187,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "sharding",
     )
-    return shard_documents(narrow).select(
+    return shard_keyed(narrow).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
