@@ -55,18 +55,18 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
 def main() -> int:
     from tests.conftest import make_session
 
-    from tidemark.checks.oracle import ORACLES
-    from tidemark.checks.queries import REGISTERED
+    from __spark_entry__ import oracle_sql, queries
 
+    oracles, registered = oracle_sql(), queries()
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
-    names = sys.argv[2:] or list(REGISTERED)
+    names = sys.argv[2:] or list(registered)
     sf_dir, spark, bad = f"/root/testdata/sf{sf}", make_session(), 0
     for name in names:
         start = time.time()
         try:
-            got = REGISTERED[name](spark, sf_dir).toPandas()
+            got = registered[name](spark, sf_dir).toPandas()
             took = time.time() - start
-            finding = differences(got, oracle_frame(ORACLES[name], sf_dir)) if name in ORACLES else "rows only"
+            finding = differences(got, oracle_frame(oracles[name], sf_dir)) if name in oracles else "rows only"
             bad += finding not in (None, "rows only")
             print(f"{name:28s} {took:6.2f}s {len(got):7d} rows  {finding or 'ok'}", flush=True)
         except Exception as error:  # keep going, report all
