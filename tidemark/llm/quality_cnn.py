@@ -129,7 +129,8 @@ class Network:
         d_top = np.where(top == chunk, d_chunk, 0)
         inner = np.flatnonzero(np.append(row[1:] == row[:-1], False))
         d_top[inner + 1] += np.where(top[inner] == chunk[inner], 0, d_chunk[inner])
-        d_top += np.where(top == most[row], error[row, None] * self.out[:FILTERS], 0)
+        largest = top == most[row]
+        d_top += largest * error[row, None] * self.out[:FILTERS] / np.add.reduceat(largest, where.rows, axis=0, dtype=float)[row]
         d_top[top <= 0] = 0
         # and there the place of the maximum
         of_half = np.repeat(np.arange(n), np.diff(np.append(where.halves, len(where.at))))
