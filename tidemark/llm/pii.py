@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 # and an ip from a run of dotted numbers, so that no text takes more than linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -91,6 +93,8 @@ def emails(text: str) -> Iterator[Span]:
 
 def ips(text: str) -> Iterator[Span]:
     for run in DOTTED.finditer(text):
+        if run.group().count(".") < 3:
+            continue
         numbers = list(re.finditer(r"[0-9]+", run.group()))
         for i in range(0, len(numbers) - 3, 4):
             four = numbers[i : i + 4]
@@ -151,14 +155,28 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
-def weak_label(text: str, span: Span, base: list[Span]) -> int:
+class Cover:
+    """Which places base spans take: by start, with the largest end so far."""
+
+    def __init__(self, base: list[Span]):
+        found = sorted((start, end) for _, start, end in base)
+        self.starts = [start for start, _ in found]
+        self.ends = list(accumulate((end for _, end in found), max))
+
+    def reach(self, place: int) -> int:
+        """The largest end of the spans that start at or before a place."""
+        at = bisect_right(self.starts, place)
+        return self.ends[at - 1] if at else -1
+
+
+def weak_label(text: str, span: Span, cover: Cover) -> int:
     """1 personal, 0 not, -1 unknown."""
     kind, start, end = span
-    if any(b[1] <= start and end <= b[2] for b in base):
+    if cover.reach(start) >= end:
         return 1
     if kind == "secret" and NAMED.search(text[max(0, start - 32) : start]):
         return 1
-    if any(b[1] < end and start < b[2] for b in base):
+    if cover.reach(end - 1) > start:
         return -1
     return 0
 
@@ -238,9 +256,9 @@ def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         rows, labels = [], []
         for text in part.column("text").to_pylist():
-            base = base_spans(text or "")
+            cover = Cover(base_spans(text or ""))
             for span in proposals(text or ""):
-                if (label := weak_label(text, span, base)) >= 0:
+                if (label := weak_label(text, span, cover)) >= 0:
                     rows.append(describe(text, span))
                     labels.append(label)
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["x", "y"])
@@ -263,13 +281,15 @@ def select(text: str, base: list[Span], trees: Boosted | None) -> list[Span]:
     if not found:
         return []
     score = trees.scores(np.array([describe(text, s) for s in found]))
-    taken = sorted((s[1], s[2]) for s in base)
+    taken = np.zeros(len(text), dtype=bool)
+    for _, start, end in base:
+        taken[start:end] = True
     chosen = []
     for i in sorted(range(len(found)), key=lambda i: (-score[i], found[i][1] - found[i][2], found[i][1])):
         _, start, end = found[i]
-        if score[i] >= trees.threshold and not any(a < end and start < b for a, b in taken):
+        if score[i] >= trees.threshold and not taken[start:end].any():
             chosen.append(found[i])
-            taken.append((start, end))
+            taken[start:end] = True
     return sorted(chosen, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
