@@ -48,4 +48,4 @@ def test_stream_defaults():
     args = _parser().parse_args("score-stream --registry r --model m --servers s --username u --checkpoint c".split())
     assert (args.trigger_seconds, args.stop_after_seconds) == (15, 300)
     assert args.features is None and args.alias == "champion" and not args.separate_queries
-    assert _parser().parse_args("replay --input x --servers s --username u".split()).max_messages == 5000
+    assert _parser().parse_args("replay --input x --servers s --username u".split()).max_messages is None

@@ -166,8 +166,8 @@ def test_paced_stream_delivers_slots_in_order(spark):
     query.stop()
     got = spark.read.parquet(path)
     assert got.count() == 1000 and got.select("key").distinct().count() == 1000
-    with pytest.raises(ValueError, match="rate"):
-        time_slots(tx, 0)
+    due = {rate: [r.n for r in time_slots(tx, rate).groupBy("slot").agg(F.count("*").alias("n")).orderBy("slot").collect()] for rate in (0, 400.5)}
+    assert due == {0: [1000], 400.5: [401, 400, 199]}
 
 
 def test_scores_of_stored_columns(spark):

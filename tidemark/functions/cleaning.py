@@ -29,14 +29,15 @@ def number_column(df: DataFrame, name: str) -> Column:
     """The column cast to its canonical type; a bad value becomes null.
 
     ANSI casts raise on bad text and refuse a decimal point in a whole number.
-    Stored files hold values such as ``25863.0``, so text for whole numbers
-    loses its fraction first.
+    Stored files hold values such as ``25863.0``: where the cast of a text for
+    a whole number fails, it is tried again without the fraction.
     """
     kind = NUMERIC_TYPES[name]
     value = F.col(name)
     if dict(df.dtypes)[name] == "string" and kind != "double":
         # sign, a 0 in case no digit follows, digits (there is no group 10)
-        value = F.regexp_replace(value, WHOLE_WITH_FRACTION, "$10$2")
+        whole = F.regexp_replace(value, WHOLE_WITH_FRACTION, "$10$2")
+        return F.coalesce(value.try_cast(kind), whole.try_cast(kind))
     return value.try_cast(kind)
 
 

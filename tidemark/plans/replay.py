@@ -46,12 +46,15 @@ def replay_to_topic(
     write_topic_batch(replay_messages(load_replay(spark, path), key, max_messages), broker, topic)
 
 
-def time_slots(df: DataFrame, rate: int = DEFAULT_RATE) -> DataFrame:
-    """Number rows by event time and give each the second it is due in."""
-    if rate < 1:
-        raise ValueError("rate must be at least one message per second")
+def time_slots(df: DataFrame, rate: float = DEFAULT_RATE) -> DataFrame:
+    """Number rows by event time and give each the second it is due in.
+
+    ``rate`` is in messages a second and may be a fraction; without a pace (0 or
+    less) all rows are due at once.
+    """
     ranked = dense_row_ids(df, time_order(df), "seq")
-    return ranked.withColumn("slot", F.expr(f"seq div {int(rate)}"))
+    slot = F.floor(F.col("seq") / F.lit(float(rate))) if rate > 0 else F.lit(0)
+    return ranked.withColumn("slot", slot.cast("long"))
 
 
 def paced_stream(spark: SparkSession, slotted: DataFrame, rate: int = DEFAULT_RATE, key: str = "transaction_id") -> DataFrame:

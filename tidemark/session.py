@@ -22,21 +22,23 @@ _LOCAL_ROOTS: dict[str, str] = {}
 #: scratch paths handed out, by application id
 _HANDED_OUT: dict[str, list[str]] = {}
 
-# The keys a caller has to give, and the S3A settings beside them.
+# The keys a caller has to give.
 S3_KEYS = ("endpoint_url", "access_key", "secret_key")
-S3A_FIXED = {
-    "impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
-    "path.style.access": "true",
-    "connection.ssl.enabled": "true",
-}
 
 
 def s3a_conf(s3: Mapping[str, str] | None) -> dict[str, str]:
     """Hadoop S3A settings, or nothing unless all three keys are given."""
     if not s3 or any(k not in s3 for k in S3_KEYS):
         return {}
-    given = {"endpoint": s3["endpoint_url"], "access.key": s3["access_key"], "secret.key": s3["secret_key"]}
-    return {f"spark.hadoop.fs.s3a.{k}": v for k, v in {**S3A_FIXED, **given}.items()}
+    # Names of the S3A settings.
+    return {
+        "spark.hadoop.fs.s3a.endpoint": s3["endpoint_url"],
+        "spark.hadoop.fs.s3a.access.key": s3["access_key"],
+        "spark.hadoop.fs.s3a.secret.key": s3["secret_key"],
+        "spark.hadoop.fs.s3a.impl": "org.apache.hadoop.fs.s3a.S3AFileSystem",
+        "spark.hadoop.fs.s3a.path.style.access": "true",
+        "spark.hadoop.fs.s3a.connection.ssl.enabled": "true",
+    }
 
 
 def session_builder(app: str = "tidemark", s3: Mapping[str, str] | None = None):

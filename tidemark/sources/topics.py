@@ -13,13 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-# How the broker authenticates, and where reading starts.
-SECURITY = {
-    "kafka.security.protocol": "SASL_SSL",
-    "kafka.sasl.mechanism": "SCRAM-SHA-512",
-}
+# The login module, and the time between micro-batches.
 LOGIN_MODULE = "org.apache.kafka.common.security.scram.ScramLoginModule"
-FROM_THE_START = {"startingOffsets": "earliest", "failOnDataLoss": "false"}
 DEFAULT_TRIGGER = {"processingTime": "15 seconds"}
 
 MESSAGE_FRAME = "key string, value string, timestamp timestamp"
@@ -35,7 +30,13 @@ class Broker:
 
     def options(self) -> dict[str, str]:
         login = f'{LOGIN_MODULE} required username="{self.username}" password="{self.password}";'
-        return {"kafka.bootstrap.servers": self.servers, "kafka.sasl.jaas.config": login, **SECURITY}
+        # Options of the connector.
+        return {
+            "kafka.bootstrap.servers": self.servers,
+            "kafka.security.protocol": "SASL_SSL",
+            "kafka.sasl.mechanism": "SCRAM-SHA-512",
+            "kafka.sasl.jaas.config": login,
+        }
 
 
 def source_options(broker: Broker, topic: str, max_offsets: int | None = None) -> dict[str, str]:
@@ -45,7 +46,14 @@ def source_options(broker: Broker, topic: str, max_offsets: int | None = None) -
     retained topic is not a single batch of everything.
     """
     bound = {} if max_offsets is None else {"maxOffsetsPerTrigger": str(max_offsets)}
-    return {**broker.options(), **FROM_THE_START, **bound, "subscribe": topic}
+    # Options of the connector.
+    return {
+        **broker.options(),
+        "subscribe": topic,
+        "startingOffsets": "earliest",
+        "failOnDataLoss": "false",
+        **bound,
+    }
 
 
 def read_topic(spark: SparkSession, broker: Broker, topic: str, max_offsets: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from tidemark.functions.messages import (
     valid_messages,
 )
 from tidemark.functions.scoring import add_latency, apply_scorer
-from tidemark.schema import MODEL_FEATURES, require_columns
+from tidemark.schema import MODEL_FEATURES, NUMERIC_TYPES, require_columns
 from tidemark.sources.topics import start_write
 
 # Names of the two branches, of their topics and of the input.
@@ -59,12 +59,13 @@ def routed(
     """Both branches in one frame, each row with its own topic.
 
     The source is read and parsed once instead of once per branch. Unreadable
-    payloads pass the model with zero features, so that it does not skip them,
-    and their score is discarded.
+    payloads pass the model with zeros in every number, so that none is skipped
+    whatever columns it uses, and their score is discarded.
     """
     readable, parsed = is_valid(), parse_messages(raw)
-    ids = {c: F.when(readable, F.col(c)).otherwise(F.lit(0)) for c in ("customer_id", "terminal_id")}
-    scored = score_messages(parsed.withColumns(ids), scorer, features)
+    numbers = [c for c in NUMERIC_TYPES if c in parsed.columns and c != "transaction_id"]
+    filled = {c: F.when(readable, F.col(c)).otherwise(F.lit(0).cast(dict(parsed.dtypes)[c])) for c in numbers}
+    scored = score_messages(parsed.withColumns(filled), scorer, features)
     return scored.select(
         F.when(readable, F.lit(prediction_topic)).otherwise(F.lit(dead_letter_topic)).alias("topic"),
         F.col("transaction_id").cast("string").alias("key"),
