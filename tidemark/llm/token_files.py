@@ -108,7 +108,7 @@ def block_rows(layout: Layout, dictionary: bytes):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         held = 0
-        for batch in slices(batches, size=1 << 20):
+        for batch in slices(batches, size=1 << 22):
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), serialized(batch.column("text").to_pylist(), layout), strict=True):
                 ids.append(doc_id)
                 counts.append(len(own) // 2)

@@ -17,7 +17,7 @@ from array import array
 from functools import cache
 
 #: parts in each of the two generations of a Python worker's lookup
-KEEP = 700_000
+KEEP = 1_000_000
 #: marks after a word, and how many of them at most are looked up apart; an apostrophe is none, it may bind letters
 MARKS, LONGEST_TAIL = ".,;:!?*$&%#", 4
 #: longer parts are encoded but not kept
@@ -71,17 +71,13 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.kind, x.ids).tobytes() for x in found]
 
-    @staticmethod
-    def _alone(part: str) -> bool:
-        """Whether a part is encoded alike beside any other: no white space at its edges but one line feed before it."""
-        body = part[1:] if part[:1] == "\n" else part
-        return bool(body) and not body[0].isspace() and not body[-1].isspace()
-
     def ids(self, texts: list[str | None]) -> list[bytes]:
         texts = [text or "" for text in texts]
         out: list[bytes | None] = [None] * len(texts)
         cut = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if not self.special(t)}
-        missing = [x for x in self.parts.missing(set().union(*(x[1:] for x in cut.values()))) if self._alone(x)]
+        found = self.parts.missing(set().union(*(x[1:] for x in cut.values())))
+        missing = [x for x in found if (body := x[1:] if x[:1] == "\n" else x) and body.strip() == body]
+        # with no white space at its edges but one line feed before it, a part is encoded alike beside any other;
         # letters and the marks after them are encoded apart, so a known word need not be encoded again
         joined = {}
         for x in missing:
@@ -90,7 +86,7 @@ class Encoder:
                 joined[x] = (word, x[len(word) :])
         single = {x for x in missing if x not in joined} | {w for w, _ in joined.values() if w not in self.parts.new}
         tails = {t for _, t in joined.values()}.difference(self.tails)
-        heads = {i: x[0] for i, x in cut.items() if self._alone(x[0])}
+        heads = {i: x[0] for i, x in cut.items() if x[0] and x[0].strip() == x[0]}
         ask = [x if x[0] == "\n" else self.space + x for x in single] + [*tails] + [*heads.values()]
         fresh = self._encode(ask)
         self.parts.learn([*single], fresh[: len(single)])
