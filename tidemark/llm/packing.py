@@ -4,9 +4,10 @@ Each text becomes a hashed vector: counts of its words in ``BUCKETS`` buckets, b
 logarithm and at unit length. A fixed random projection takes it to ``AXES``
 numbers, which are cut into ``BITS`` bits each and turned into the text's place on
 a Hilbert curve. Documents are range-sorted by that place, so texts with like
-words lie next to each other, and each range partition lays its documents end to
-end into sequences; where a sequence is full, the document is cut and goes on in
-the next. Only the last sequence of a partition has padding. The counts of
+words lie next to each other: the ranges come from a sample of the places, a task
+gets some ranges and sorts them. It lays its documents end to end into sequences;
+where a sequence is full, the document is cut and goes on in the next. Only the
+last sequence of a task has padding. The counts of
 sequences per partition, one small row each, turn local into global numbers.
 
 Defined results: null text is empty and packs its end id alone; rows that repeat
@@ -35,6 +36,10 @@ SEQUENCE = 2048
 END_ID = 1
 
 BUCKETS, AXES, BITS = 256, 4, 8
+#: bits of a hash that order documents at one place, so that copies can lie in several ranges
+TIE_BITS = 31
+#: ranges per shuffle partition, and of how many documents one is sampled for them
+RANGES, SAMPLE = 8, 32
 SEED = 20240
 #: projections of unit vectors beyond this are cut to the border
 REACH = 0.25
@@ -90,11 +95,41 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def order_of(text: pa.Array, tie: pa.Array) -> np.ndarray:
+    """Place on the curve, then a hash, in one number."""
+    place = np.clip((vectors(text) + REACH) / (2 * REACH), 0, 1)
+    key = hilbert_key(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
+    return (key << TIE_BITS) | (tie.to_numpy() & ((1 << TIE_BITS) - 1))
+
+
+def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        place = np.clip((vectors(part.column("text")) + REACH) / (2 * REACH), 0, 1)
-        key = hilbert_key(np.minimum((place * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(key)], ["doc_id", "text", "curve"])
+        yield pa.RecordBatch.from_arrays([pa.array(order_of(part.column("text"), part.column("tie")))], ["place"])
+
+
+def place_rows(bounds: np.ndarray):
+    """Documents with their place on the curve and the range that holds it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            place = order_of(part.column("text"), part.column("tie"))
+            range_ = np.searchsorted(bounds, place, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("text"), pa.array(place), pa.array(range_)],
+                ["doc_id", "text", "place", "range"],
+            )
+
+    return rows
+
+
+def curve_ranges(docs: DataFrame) -> np.ndarray:
+    """Bounds of ranges of the curve with about as many documents each, from one row in SAMPLE."""
+    count = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = docs.where(F.pmod(F.shiftright("tie", TIE_BITS), F.lit(SAMPLE)) == 0).mapInArrow(sample_rows, "place long")
+    shares = F.array(*[F.lit(i / count) for i in range(1, count)]) if count > 1 else F.array(F.lit(1.0))
+    # a row of as many numbers as there are ranges
+    found = places.agg(F.percentile_approx("place", shares)).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
 
 
 def pack_rows(tokenizer: str, length: int, end_id: int):
@@ -103,7 +138,7 @@ def pack_rows(tokenizer: str, length: int, end_id: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0  # tokens of the partition so far
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, size=1 << 20):
+        for batch in slices(batches, size=1 << 22):
             out: list[tuple] = []
             texts = encoder(tokenizer, "I", False).ids(batch.column("text").to_pylist())
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
@@ -124,12 +159,11 @@ def pack_rows(tokenizer: str, length: int, end_id: int):
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the sequence and the offset in it that they fill."""
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"))
     placed = (
-        docs.select("doc_id", "text")
-        .mapInArrow(curve_rows, "doc_id long, text string, curve long")
-        .withColumn("_tie", F.xxhash64("doc_id", "text"))
-        .repartitionByRange("curve", "_tie")
-        .sortWithinPartitions("curve", "_tie")
+        docs.mapInArrow(place_rows(curve_ranges(docs)), "doc_id long, text string, place long, range int")
+        .repartition("range")
+        .sortWithinPartitions("range", "place")
         .select("doc_id", "text")
     )
     pieces = materialize(placed.mapInArrow(pack_rows(tokenizer, length, end_id), PIECES), "pieces")
