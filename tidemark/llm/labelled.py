@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.tables import crc_of_id
+from tidemark.session import materialize
 
 #: slices taken evenly from a text that is longer than the training bound
 SLICES = 8
@@ -26,6 +27,36 @@ def evenly(text: str, most: int) -> Column:
     return F.when(F.length(text) <= most, F.col(text)).otherwise(F.concat(*cut))
 
 
+def chosen_ids(labels: DataFrame, label: str, train: Column, per_class: tuple[int, int]) -> DataFrame:
+    """doc_id and _y (0 or 1) of at most ``per_class`` ids of each label, those with the least hash."""
+    known = labels.where(train & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
+    order = F.xxhash64("doc_id")
+    chosen = None
+    for y, most in enumerate(per_class):
+        some = known.where(F.col("_y") == y).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(most)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    return chosen
+
+
+def whole_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: tuple[int, int]) -> DataFrame:
+    """doc_id, text_key, y and the whole text of the rows that ``labelled_sample`` takes.
+
+    Rows alike in id and text count once. The texts stay in Spark; what is learned
+    from them is computed in tasks.
+    """
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    keys = (
+        own.join(F.broadcast(chosen_ids(labels, label, train, per_class)), "doc_id")
+        .select("doc_id", "text_key", F.col("_y").alias("y"))
+        .dropDuplicates()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "text_key")
+        .limit(sum(per_class))
+    )
+    # at most sum(per_class) rows of three numbers
+    same = ["doc_id", "text_key"]
+    return materialize(own.join(F.broadcast(keys), same).dropDuplicates([*same, "y"]), "labelled")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: tuple[int, int], chars: int
 ) -> tuple[pa.Array, np.ndarray]:
@@ -34,12 +65,7 @@ def labelled_sample(
     The rows with the least hash of their id are taken, each id once; at most
     ``chars`` characters of a text. Only such a sample reaches the driver.
     """
-    known = labels.where(train & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
-    order = F.xxhash64("doc_id")
-    chosen = None
-    for y, most in enumerate(per_class):
-        some = known.where(F.col("_y") == y).dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(most)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    chosen = chosen_ids(labels, label, train, per_class)
     # at most sum(per_class) rows of two numbers
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

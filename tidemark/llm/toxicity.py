@@ -13,13 +13,15 @@ whether speech is being reported (until the clause ends), and whether a target o
 threat stands open. A path's weight is the sum over its matches: an insult counts
 less within the reach of a negation or in reported speech, more with a target in
 the clause; a threat counts only with a target. Clauses that match nothing weigh
-nothing, and words outside clauses are never scored alone. A logistic unit over the
-clause weights of a text gives its score.
+nothing, and words outside clauses are never scored alone. A long text meets more
+entries by chance, so the matches and their weight also count per 1000 words. A
+logistic unit over these statistics of a text gives its score.
 
 Words are read from all bytes of all texts, vectorised; only clauses that hold a
-match run through the machine. Lexicon and unit are fitted on at most
-``PER_CLASS`` labelled rows of either label with ``CHARS`` characters each; the
-lexicon is bounded by ``LEXICON`` and goes to every task.
+match run through the machine. Lexicon, unit and cut are fitted on the whole texts of
+at most ``PER_CLASS`` labelled rows of either label: tasks count their words and
+compute their statistics, and only numbers reach the driver. The lexicon is bounded
+by ``LEXICON`` and goes to every task.
 
 Defined results: null and empty texts have no clause and get the score of such
 texts; every row is scored; without labelled rows of both kinds the lexicon is
@@ -28,22 +30,23 @@ empty and all texts score alike, below 0.7.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.labelled import best_cut, held_out, labelled_sample, logistic
+from tidemark.llm.labelled import best_cut, held_out, logistic, whole_sample
+from tidemark.llm.shingles import list_array
 from tidemark.llm.tables import documents, table
-from tidemark.llm.words import BASES, NOT_ALNUM, U64, Words, mix, segment_hash, slices, words_of
+from tidemark.llm.words import BASES, NOT_ALNUM, U64, Words, mix, segment_hash, signed, slices, words_of
 
 #: fixed values of the contract: training fold and the score from which on label 1 is told
 MODULO, REST, TELL = 3, 1, 0.7
-PER_CLASS, CHARS = (4000, 2000), 6000
+PER_CLASS = (4000, 2000)
 #: bytes of word stems
 STEMS = (4, 5, 6, 7, 8, 9)
 #: a lexicon entry is in so many toxic sample texts, and so much likelier there
@@ -62,7 +65,7 @@ THREATS = "kill hurt destroy beat shoot stab burn murder hang töten umbringen v
 
 OTHER, NEG, SAY, AIM, MENACE = range(5)
 CLAUSE_ENDS = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n"])
-FEATURES = 6
+FEATURES = 9
 SCORES = "doc_id long, score double"
 
 
@@ -131,6 +134,11 @@ class Grammar:
             own[3] += negated
             own[4] += reported
             own[5] += threats
+        # per 1000 words; an entry met in a long text says less
+        number = np.diff(words.first)
+        out[:, 6] = 1000 * np.bincount(row[insult > 0], minlength=len(column)) / np.maximum(number, 1)
+        out[:, 7] = 1000 * out[:, 1] / np.maximum(number, 1)
+        out[:, 8] = number
         return np.log1p(out)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -169,37 +177,67 @@ def run_clause(insult: list[float], mark: list[int]) -> tuple[float, int, int, i
     return total, plain, negated, reported, threats
 
 
-def learn_lexicon(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+UNITS = "doc_id long, text_key long, y int, same long, units array<long>"
+
+
+def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different words and stems of each whole text, and a hash of all of them."""
+    for part in slices(batches):
+        found = []
+        for i in range(part.num_rows):
+            whole, stems = lexical(words_of(part.column("text").slice(i, 1), lower=True, blank=NOT_ALNUM))
+            found.append(np.unique(np.concatenate([whole, *[keys for _, keys in stems]])) if len(whole) else whole)
+        same = [int.from_bytes(blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) for x in found]
+        units = list_array(signed(np.concatenate(found)), np.cumsum([0, *map(len, found)]))
+        yield pa.RecordBatch.from_arrays(
+            [*[part.column(c) for c in ("doc_id", "text_key", "y")], pa.array(same, pa.int64()), units],
+            ["doc_id", "text_key", "y", "same", "units"],
+        )
+
+
+def learn_lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of words and stems that tell toxic texts."""
-    counts = [Counter(), Counter()]
-    seen: set[int] = set()
-    sizes = [0, 0]
-    for i in range(len(texts)):
-        words = words_of(texts.slice(i, 1), lower=True, blank=NOT_ALNUM)
-        whole, stems = lexical(words)
-        units = np.unique(np.concatenate([whole, *[keys for _, keys in stems]])) if len(whole) else whole
-        same = hash(units.tobytes())
-        if same in seen:  # a copy says nothing new
-            continue
-        seen.add(same)
-        sizes[y[i]] += 1
-        counts[y[i]].update(units.tolist())
-    least = max(LEAST_TEXTS, LEAST_SHARE * sizes[1])
-    found = []
-    for key, n in counts[1].items():
-        if n >= least:
-            odds = np.log((n + 0.5) / (sizes[1] + 1)) - np.log((counts[0][key] + 0.5) / (sizes[0] + 1))
-            if odds >= LEAST_ODDS:
-                found.append((key, odds))
-    found = sorted(sorted(found, key=lambda x: (-x[1], x[0]))[:LEXICON])
-    return np.array([k for k, _ in found], dtype=U64), np.array([w for _, w in found], dtype=float)
-
-
-def learn(texts: pa.Array, y: np.ndarray) -> Grammar:
-    if len(set(y.tolist())) < 2:
+    # a copy says nothing new: of texts with the same words, the first in the sample's order counts
+    first = F.min_by("y", F.struct(F.xxhash64("doc_id"), "doc_id", "text_key", "y")).alias("y")
+    texts = sample.mapInArrow(unit_rows, UNITS).groupBy("same").agg(first, F.first("units").alias("units"))
+    sizes = {r.y: r.n for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
+    counts = texts.select("y", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("y").alias("n"), F.sum(1 - F.col("y")).alias("other"))
+    odds = F.log((F.col("n") + 0.5) / (toxic + 1)) - F.log((F.col("other") + 0.5) / (clean + 1))
+    found = (
+        counts.where(F.col("n") >= max(LEAST_TEXTS, LEAST_SHARE * toxic))
+        .select("unit", odds.alias("odds"))
+        .where(F.col("odds") >= LEAST_ODDS)
+        .orderBy(F.desc("odds"), "unit")
+        .limit(LEXICON)
+        .toArrow()
+    )
+    keys, weights = found.column("unit").to_numpy().view(U64), found.column("odds").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], weights[order]
+
+
+def feature_rows(grammar: Grammar):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            x = grammar.features(part.column("text"))
+            bounds = np.arange(len(x) + 1) * FEATURES
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in ("doc_id", "text_key", "y")], list_array(x.ravel(), bounds)], ["doc_id", "text_key", "y", "x"]
+            )
+
+    return rows
+
+
+def learn(sample: DataFrame) -> Grammar:
+    """A grammar fitted on whole texts: ``sample`` has doc_id, text_key, y and text."""
+    if sample.select("y").distinct().count() < 2:
         return Grammar()
-    grammar = Grammar(*learn_lexicon(texts, y))
-    x = np.vstack([grammar.features(texts.slice(i, 64)) for i in range(0, len(texts), 64)])
+    grammar = Grammar(*learn_lexicon(sample))
+    # FEATURES numbers of each row, in an order that does not depend on the layout
+    found = sample.mapInArrow(feature_rows(grammar), "doc_id long, text_key long, y int, x array<double>").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("text_key", "ascending"), ("y", "ascending")])
+    x, y = np.array(found.column("x").to_pylist()), found.column("y").to_numpy().astype(np.int64)
     grammar.scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
     grammar.unit = logistic(x / grammar.scale, y)
     # telling a clean text toxic costs twice as much as missing a toxic one
@@ -218,7 +256,7 @@ def score_rows(grammar: Grammar):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Grammar:
-    return learn(*labelled_sample(docs, labels, "toxic", ~held_out(MODULO, REST), PER_CLASS, CHARS))
+    return learn(whole_sample(docs, labels, "toxic", ~held_out(MODULO, REST), PER_CLASS))
 
 
 def toxicity_scores(docs: DataFrame, grammar: Grammar) -> DataFrame:
