@@ -8,21 +8,27 @@ its format (lengths, kinds of characters, entropy) and context (words and marks
 before and after, digits around); a calibrated threshold selects, best first, those
 that overlap nothing selected before.
 
-The trees learn from proposals of at most ``SAMPLE_DOCS`` documents with a digit or
-an @ (the least by a hash), at most ``SAMPLE_SPANS`` in all. Their labels are weak:
-a proposal is personal if a base kind with its check covers it, or if it is a secret
-given to a name such as ``token``; it is not if its check fails. The checks
-themselves are no features. A quarter of the sample only serves the threshold,
-which asks for a precision of ``PRECISION``.
+The trees learn from proposals of at most ``SAMPLE_DOCS`` documents that may hold one
+(the least by a hash), at most ``SAMPLE_SPANS`` in all, and from ``planted`` examples
+of every kind, as a corpus may lack some. Their labels are weak: a proposal is
+personal if a base kind with its check covers it, if the check of its own kind holds
+(IBAN, version 6, domain of a written-out email) or if it is named: a secret by a word
+such as ``token``, a number by one such as ``tel`` or ``account``. It is not if its
+check fails, if a word such as ``page`` names it or if it is a piece of a longer word.
+All others, also long numbers that are no
+card, are unknown and teach nothing. The checks of the base kinds are no
+features. A quarter of the sample only serves the threshold, which asks for a
+precision of ``PRECISION``.
 
 Defined results: null and empty texts have no spans; places are counted in code
-points, ends exclusive; every row is judged on its whole text; null ids are passed
-on; with too little to learn from, only the base kinds are found.
+points, ends exclusive; every row is judged on its whole text; null ids are
+passed on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -62,6 +68,21 @@ HINTS = [
     for words in ("token|secret|passw\\w*|pwd|key", "tel|phone|call|fax|mobile", "card|visa|account|iban|ssn|konto", "mail|contact", "ip|host|server|address", "no|nr|isbn|id|page|section|year")
 ]
 
+#: words that name a number as personal, or as something else
+NAMES = {
+    kind: re.compile(rf"(?i)\b(?:{words})\w{{0,8}}\W{{1,4}}(?:\w{{1,12}}\W{{1,4}})?$")
+    for kind, words in {
+        "local_phone": "tel|phone|call|fax|mobile",
+        "long_number": "tel|phone|call|fax|mobile|card|visa|account|iban|ssn|konto",
+        "account": "account|iban|ssn|social|konto",
+    }.items()
+}
+OTHERWISE = re.compile(r"(?i)\b(?:no|nr|isbn|id|page|section|year)\W{1,4}$")
+#: texts that hold none of these have neither base kinds nor proposals
+MAY_HOLD = r"[0-9@]|[(\[]at[)\]]|[0-9A-Fa-f]:[0-9A-Fa-f]"
+#: planted examples of each form
+PLANTED = 60
+
 SAMPLE_DOCS, SAMPLE_SPANS = 3000, 40_000
 ROUNDS, DEPTH, BINS, RATE, SEED = 40, 3, 16, 0.2, 17
 PRECISION = 0.98
@@ -125,6 +146,20 @@ def proposals(text: str) -> list[Span]:
     return [s for s in found if s[0] != "secret" or any(c.isdigit() for c in text[s[1] : s[2]])]
 
 
+def own_check(kind: str, own: str) -> float:
+    """Whether the check of a wider kind holds (1) or fails (0); 0.5 for kinds without one."""
+    if kind == "account" and "-" in own:  # social security: no such areas, groups and serials
+        area, group, serial = own.split("-")
+        return float(area not in ("000", "666") and area < "900" and group != "00" and serial != "0000")
+    if kind == "account":
+        return float(int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1)
+    if kind == "ipv6":  # with fewer parts it is a time or a device
+        return float(own.count(":") == 7)
+    if kind == "spelled_email":
+        return float(re.search(r"[A-Za-z]{2,}$", own) is not None)
+    return 0.5
+
+
 def describe(text: str, span: Span) -> list[float]:
     """Format and context of a proposal."""
     kind, start, end = span
@@ -135,6 +170,7 @@ def describe(text: str, span: Span) -> list[float]:
     near = before + after
     return [
         *[float(kind == k) for k in GENERATORS],
+        own_check(kind, own),
         n,
         digits,
         letters,
@@ -152,6 +188,8 @@ def describe(text: str, span: Span) -> list[float]:
         float(before[-1:] == "+" or before[-2:-1] == "+"),
         sum(c.isdigit() for c in near) / (len(near) + 1),
         *[float(bool(h.search(before))) for h in HINTS],
+        float(kind in NAMES and bool(NAMES[kind].search(before))),
+        float(bool(OTHERWISE.search(before))),
     ]
 
 
@@ -178,7 +216,61 @@ def weak_label(text: str, span: Span, cover: Cover) -> int:
         return 1
     if cover.reach(end - 1) > start:
         return -1
-    return 0
+    own, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 2]
+    if kind == "secret":  # its check is the name; bare numbers are judged as such
+        return -1 if own.isdigit() else 0
+    if before[-1:].isalnum() or after[:1].isalnum() or own_check(kind, own) == 0:
+        return 0
+    named = kind in NAMES and bool(NAMES[kind].search(before))
+    if kind in ("ipv6", "spelled_email") or named or kind == "account" and "-" not in own:
+        return 1
+    if kind in ("local_phone", "long_number") and OTHERWISE.search(before):
+        return 0
+    if kind == "local_phone" and (re.search(r"[0-9]\.$", before) or re.match(r"\.[0-9]", after)):
+        return 0
+    # a long number whose card check fails is no card, but may be another personal number
+    return -1
+
+
+def planted() -> Iterator[str]:
+    """Short texts with examples of every wider kind, personal ones and others; always the same."""
+    r = random.Random(SEED)
+
+    def some(of: str, n: int) -> str:
+        return "".join(r.choice(of) for _ in range(n))
+
+    def word() -> str:
+        return some("abcdefghijklmnopqrstuvwxyz", r.randint(2, 9))
+
+    ten, hexa, upper = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for _ in range(PLANTED):
+        phone = r.choice(["({}) {}-{}", "{} {} {}", "{}-{}-{}", "{}.{}.{}"]).format(some(ten, 3), some(ten, 3), some(ten, 4))
+        number = some(ten, r.randint(6, 12))
+        land, rest = some(upper, 2), some(ten, r.randint(11, 23))
+        check = 98 - int("".join(str(int(c, 36)) for c in rest + land + "00")) % 97
+        wrong = (check + r.randint(1, 90)) % 97
+        social = f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}"
+        no_social = f"{r.choice(['000', '666', '9' + some(ten, 2)])}-{some(ten, 2)}-{some(ten, 4)}"
+        groups = [some(hexa, r.randint(1, 4)) for _ in range(8)]
+        at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] ")])
+        key = some(hexa, 31) + r.choice(ten)
+        for form in (
+            f"{r.choice(['tel', 'Phone:', 'call me', 'fax', 'mobile'])} {phone}",
+            f"{r.choice(['no', 'isbn', 'page', 'section'])} {phone}",
+            f"{r.choice(['account', 'Konto', 'tel', 'phone:', 'card'])} {number}",
+            f"{r.choice(['no', 'id', 'page', 'nr'])} {number}",
+            f"{r.choice(['iban', '', '', 'account:'])} {land}{check:02d}{rest}",
+            f"{r.choice(['iban', '', '', 'code'])} {land}{wrong:02d}{rest}",
+            f"{r.choice(['ssn', 'social security', 'SSN:'])} {social}",
+            f"{r.choice(['', 'ssn', 'part'])} {no_social}",
+            f"{r.choice(['', 'ip', 'host', 'server'])} {':'.join(groups)}",
+            f"{r.choice(['', 'at', 'time', 'device'])} {':'.join(groups[: r.randint(5, 7)])}",
+            f"{r.choice(['', 'mail', 'contact', 'write to'])} {word()}{at}{word()}{dot}{r.choice(['com', 'org', 'de', 'example'])}",
+            f"{word()}{at}{word()}{dot}{some(ten, 2)}",
+            f'{r.choice(["token", "secret", "api_key", "password"])} = "{key}"',
+            key,
+        ):
+            yield f"{word()} {word()} {form} {word()} {word()}"
 
 
 @dataclass
@@ -252,27 +344,30 @@ def learn(x: np.ndarray, y: np.ndarray) -> Boosted | None:
     return trees
 
 
+def examples(text: str) -> Iterator[tuple[list[float], int]]:
+    """Features and label of each proposal whose label is known."""
+    cover = Cover(base_spans(text))
+    for span in proposals(text):
+        if (label := weak_label(text, span, cover)) >= 0:
+            yield describe(text, span), label
+
+
 def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        rows, labels = [], []
-        for text in part.column("text").to_pylist():
-            cover = Cover(base_spans(text or ""))
-            for span in proposals(text or ""):
-                if (label := weak_label(text, span, cover)) >= 0:
-                    rows.append(describe(text, span))
-                    labels.append(label)
+        found = [x for text in part.column("text").to_pylist() for x in examples(text or "")]
+        rows, labels = [x for x, _ in found], [y for _, y in found]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.int32())], ["x", "y"])
 
 
 def train(docs: DataFrame) -> Boosted | None:
     order = F.xxhash64(F.lit(5), "doc_id")
-    ids = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").dropDuplicates().orderBy(order, "doc_id").limit(SAMPLE_DOCS)
+    ids = docs.where(F.col("text").rlike(MAY_HOLD)).select("doc_id").dropDuplicates().orderBy(order, "doc_id").limit(SAMPLE_DOCS)
     # at most SAMPLE_DOCS ids
     some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     found = some.mapInArrow(sample_rows, "x array<double>, y int").orderBy(F.xxhash64("x")).limit(SAMPLE_SPANS).toArrow()
-    if not found.num_rows:
-        return None
-    return learn(np.array(found.column("x").to_pylist()), found.column("y").to_numpy().astype(np.int64))
+    own = [x for text in planted() for x in examples(text)]
+    rows = found.column("x").to_pylist() + [x for x, _ in own]
+    return learn(np.array(rows), np.array(found.column("y").to_pylist() + [y for _, y in own], dtype=np.int64))
 
 
 def select(text: str, base: list[Span], trees: Boosted | None) -> list[Span]:
@@ -293,10 +388,21 @@ def select(text: str, base: list[Span], trees: Boosted | None) -> list[Span]:
     return sorted(chosen, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+HEXADECIMAL = np.isin(np.arange(256), [ord(c) for c in "0123456789abcdefABCDEF"])
+
+
 def spans_of(column: pa.Array, trees: Boosted | None) -> Iterator[tuple[str, list[Span], list[Span]]]:
-    """Text, base spans and chosen spans of each row; texts without digit and @ are not searched."""
+    """Text, base spans and chosen spans of each row; texts without anything of ``MAY_HOLD`` are not searched."""
     data, bounds = text_bytes(column)
-    mark = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == ord("@")))])
+    found = ((data >= 48) & (data <= 57)) | (data == ord("@"))
+    # what is found across two rows is searched in vain
+    at = np.flatnonzero((data == ord("(")) | (data == ord("[")))
+    at = at[at + 3 < len(data)]
+    found[at] |= (data[at + 1] == ord("a")) & (data[at + 2] == ord("t")) & ((data[at + 3] == ord(")")) | (data[at + 3] == ord("]")))
+    at = np.flatnonzero(data == ord(":"))
+    at = at[(at > 0) & (at + 1 < len(data))]
+    found[at] |= HEXADECIMAL[data[at - 1]] & HEXADECIMAL[data[at + 1]]
+    mark = np.concatenate([[0], np.cumsum(found)])
     may = mark[bounds[1:]] > mark[bounds[:-1]]
     for text, look in zip(column.to_pylist(), may.tolist(), strict=True):
         base = base_spans(text) if look else []
