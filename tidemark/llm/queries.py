@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontaminate import op9_decontaminate
+from tidemark.llm.filter_audit import op12_filter_audit
 from tidemark.llm.isolation import op4_isolation_rules
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
@@ -32,6 +33,7 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_decontaminate,
         op10_quality_cnn,
+        op12_filter_audit,
     )
 }
 
@@ -73,4 +75,39 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.y,
        w.doc_id = least(w.doc_id, coalesce(top.y, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top ON top.x = w.doc_id
     """,
+    "op12_filter_audit": r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)
+), d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS q, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS t FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, coalesce(q, 0) AS q, coalesce(t, 0) AS t,
+         CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first_id < d.doc_id THEN 'E' ELSE '' END AS failed
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, failed, count(*) AS n, sum(q) AS q, sum(t) AS t FROM f GROUP BY ALL
+), met AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, q, t, failed,
+         contains(failed, substr(filter_order, step, 1)) AS fails,
+         len(list_filter(range(1, step), lambda i: contains(failed, substr(filter_order, i, 1)))) > 0 AS before
+  FROM c, orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5
+), steps AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (NOT fails AND NOT before), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT before), 0) AS removed,
+         coalesce(sum(n) FILTER (fails AND before), 0) AS redundant, coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
+         coalesce(sum(q) FILTER (fails AND NOT before), 0) AS good_lost, coalesce(sum(t) FILTER (fails AND NOT before), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM steps
+    """,
 }
