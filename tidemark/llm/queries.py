@@ -12,6 +12,7 @@ from tidemark.llm.isolation import op4_isolation_rules
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.pii import op5_pii
+from tidemark.llm.prefix_trie import op11_prefix_trie
 from tidemark.llm.quality_cnn import op10_quality_cnn
 from tidemark.llm.sharding import op2_sharding
 from tidemark.llm.substrings import op1_substring_dedup
@@ -33,6 +34,7 @@ QUERIES: dict[str, Query] = {
         op8_token_files,
         op9_decontaminate,
         op10_quality_cnn,
+        op11_prefix_trie,
         op12_filter_audit,
     )
 }
@@ -74,6 +76,46 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.y, w.doc_id)) AS component_id,
        w.doc_id = least(w.doc_id, coalesce(top.y, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top ON top.x = w.doc_id
+    """,
+    "op11_prefix_trie": r"""
+WITH o AS (
+  SELECT conv_id, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, t) AS i, c
+  FROM (SELECT conv_id, turn, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS t,
+               length(coalesce(text, '')) AS c FROM conversations WHERE conv_id IS NOT NULL)
+), bits(n, v) AS (  -- the table of crc32
+  SELECT n, list_reduce(list_prepend(CAST(n AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(3988292384::UBIGINT, v // 2) ELSE v // 2 END)
+  FROM range(256) x(n)
+), lookup AS (SELECT list(v ORDER BY n) AS vs FROM bits
+), own AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS lead, size,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+                    lambda v, b: xor(v // 256, vs[CAST(xor(v % 256, b) AS BIGINT) + 1])), 4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT conv_id, count(*) AS size FROM o GROUP BY conv_id), lookup
+), r AS (
+  SELECT own.conv_id AS c, i AS d, t, o.c AS p FROM own JOIN o ON o.conv_id = lead WHERE i <= h
+  UNION ALL
+  SELECT own.conv_id, least(h, coalesce(l.size, 0)) + i - h, t, o.c
+  FROM own JOIN o USING (conv_id) LEFT JOIN (SELECT conv_id AS lead, size FROM own) l USING (lead) WHERE i > h
+), s AS (
+  SELECT c, list(t ORDER BY d) AS ts, list(p ORDER BY d) AS ps FROM r GROUP BY c
+  UNION ALL SELECT conv_id, [], [] FROM own ANTI JOIN r ON r.c = own.conv_id
+), m AS (  -- members of each node; a node is told by its depth and the digest of its turns
+  SELECT c, d, len(ts) AS length, CASE WHEN d > 0 THEN ps[d] ELSE 0 END AS p, sha256(array_to_string(ts[1:d], ',')) AS k,
+         CASE WHEN d > 0 THEN sha256(array_to_string(ts[1:d - 1], ',')) END AS up
+  FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM s)
+), n AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(p) AS p,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (length = d), '')) AS ends
+  FROM m GROUP BY d, k
+), kids AS (SELECT d - 1 AS d, up AS k, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL
+), v AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (d, k)
+), below AS (  -- each node counts for its least member at all smaller depths
+  SELECT m.d, m.k, sum(CASE WHEN v.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((v.n - 1) * v.p) AS saved
+  FROM m JOIN v ON v.conv_id = m.c AND v.d >= m.d GROUP BY ALL
+)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(v.kids AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN below b ON b.d = v.d AND b.k = v.k LEFT JOIN v u ON u.d = v.d - 1 AND u.k = v.up
     """,
     "op12_filter_audit": r"""
 WITH RECURSIVE orders AS (
