@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.decontaminate import op9_decontaminate
 from tidemark.llm.filter_audit import op12_filter_audit
 from tidemark.llm.isolation import op4_isolation_rules
+from tidemark.llm.katz import op13_katz
 from tidemark.llm.neardup import op7_minhash
 from tidemark.llm.packing import op6_packing
 from tidemark.llm.pii import op5_pii
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {
         op10_quality_cnn,
         op11_prefix_trie,
         op12_filter_audit,
+        op13_katz,
     )
 }
 
