@@ -10,16 +10,19 @@ that alignment is verified token by token: a document leaks an item if some 13
 aligned tokens hold at least 11 equal ones.
 
 Items of 8 to 12 tokens must be there as a whole with at most one substitution;
-their seeds are four neighbours, one of which always stays whole. Shorter items
-are too common to be told from chance and match nothing.
+their seeds are four neighbours, one of which always stays whole. Items of 1 to 7
+tokens must be there whole and unchanged: the seed is the item itself, one hash for
+each length. An item of one common word is thus in every text that holds the word.
 
 The seeds of the benchmark go to the tasks in one sorted array while they number
-up to ``BROADCAST_SEEDS``; beyond that the same hits come from a shuffled join.
+up to ``BROADCAST_SEEDS``; beyond that the same hits come from a shuffled join,
+which verifies each different text against each different item once.
 
 Defined results: null and empty texts and items match nothing; rows with a null
-id are reported with it; rows that repeat are reported each; further columns are
-ignored. One row is given per document and item, for the best alignment (most
-equal tokens, then the first place).
+id are reported with it; documents that repeat are reported each; items that repeat
+are one, and an item_id with several texts is one item that any of them shows;
+further columns are ignored. One row is given per document and item_id, for the best
+alignment (most equal tokens, then the first place).
 """
 
 from __future__ import annotations
@@ -38,17 +41,19 @@ from tidemark.session import materialize
 
 #: aligned tokens that are looked at, and how many of them may differ
 STRETCH, DIFFER = 13, 2
-#: an item needs so many tokens
+#: items of fewer tokens are matched whole
 LEAST_ITEM = 8
 #: places that the masks look at
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 2, 3, 4, 6, 7))
 SHORT_MASK = (0, 1, 2, 3)
+#: masks of whole items have this number and their length
+WHOLE = 100
 #: hashes sent to every task (8 MB and as much for their places); a larger benchmark is joined by shuffle
 BROADCAST_SEEDS = 1_000_000
 
 BASE = 0xC2B2AE3D27D4EB4F
 LEAKS = "doc_id long, item_id long, start int, stop int, matched int, length int"
-SEEDS = "doc_id long, text_key int, hash long, place int"
+SEEDS = "doc_id long, text_key long, hash long, place int"
 ITEMS = "item_id long, tokens array<long>"
 
 
@@ -56,9 +61,16 @@ def tokens_of(column: pa.Array) -> Words:
     return words_of(column, lower=True, blank=NOT_ALNUM)
 
 
+def mask_of(number: int) -> tuple[int, ...]:
+    """-1 is the short mask; numbers from WHOLE on are whole items of so many tokens more."""
+    if number >= WHOLE:
+        return tuple(range(number - WHOLE))
+    return SHORT_MASK if number < 0 else MASKS[number]
+
+
 def seeds(hashes: np.ndarray, first: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of the seeds of one mask; -1 is the short one."""
-    mask = SHORT_MASK if number < 0 else MASKS[number]
+    """Hash and first token of the seeds of one mask."""
+    mask = mask_of(number)
     span = mask[-1] + 1
     n = len(hashes) - span + 1
     if n <= 0:
@@ -75,7 +87,14 @@ def seeds(hashes: np.ndarray, first: np.ndarray, number: int) -> tuple[np.ndarra
 def stretch_of(n: int) -> tuple[int, int]:
     """Aligned tokens to look at and equal ones to find, for an item of n tokens."""
     width = min(n, STRETCH)
-    return width, width - DIFFER * width // STRETCH
+    return width, width - (DIFFER * width // STRETCH if n >= LEAST_ITEM else 0)
+
+
+def masks_of(n: int) -> list[int]:
+    """The masks of an item of n tokens."""
+    if n >= STRETCH:
+        return [*range(len(MASKS))]
+    return [-1] if n >= LEAST_ITEM else [WHOLE + n] if n else []
 
 
 def verify(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -104,9 +123,7 @@ def item_seeds(ids: np.ndarray, tokens: list[np.ndarray]) -> list[np.ndarray]:
     """Seed hashes of items with the item's number and the place in it."""
     hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, own in enumerate(tokens):
-        if len(own) < LEAST_ITEM:
-            continue
-        for number in range(len(MASKS)) if len(own) >= STRETCH else (-1,):
+        for number in masks_of(len(own)):
             value, at = seeds(own.view(np.uint64), np.array([0, len(own)]), number)
             hashes.append(value)
             item.append(np.full(len(at), i))
@@ -114,11 +131,9 @@ def item_seeds(ids: np.ndarray, tokens: list[np.ndarray]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in (hashes, item, place)]
 
 
-def seed_numbers(lengths: np.ndarray) -> list[int]:
+def seed_numbers(lengths) -> list[int]:
     """The masks that items of these lengths use."""
-    return [*range(len(MASKS))] * bool((lengths >= STRETCH).any()) + [-1] * bool(
-        ((lengths >= LEAST_ITEM) & (lengths < STRETCH)).any()
-    )
+    return sorted({number for n in lengths for number in masks_of(int(n))})
 
 
 def report(rows: list, doc_ids: pa.Array) -> pa.RecordBatch:
@@ -147,13 +162,15 @@ def leak_rows(item_ids: list, tokens: list[np.ndarray]):
     value, item, place = value[order], item[order], place[order]
     known = np.zeros(1 << 20, dtype=bool)  # answers most look-ups from the processor's cache
     known[(value >> np.uint64(44)).astype(np.int64)] = True
-    numbers = seed_numbers(np.array([len(t) for t in tokens] or [0]))
+    numbers = seed_numbers({len(t) for t in tokens})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = tokens_of(part.column("text"))
             hashes, of_row = words.hashes(), words.row()
             met: set = set()
+            whole: set = set()
+            found = []
             for number in numbers:
                 own, at = seeds(hashes, words.first, number)
                 may = np.flatnonzero(known[(own >> np.uint64(44)).astype(np.int64)])
@@ -163,8 +180,15 @@ def leak_rows(item_ids: list, tokens: list[np.ndarray]):
                 for token, a, b in zip(at[may[hit]].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
                     row = int(of_row[token])
                     inside = token - int(words.first[row])
-                    met.update((row, i, inside - p) for i, p in zip(item[a:b].tolist(), place[a:b].tolist(), strict=True))
-            found = []
+                    if number < WHOLE:
+                        met.update((row, i, inside - p) for i, p in zip(item[a:b].tolist(), place[a:b].tolist(), strict=True))
+                        continue
+                    # the first place of a whole item is its best one
+                    text = signed(hashes[words.first[row] : words.first[row + 1]])
+                    for i in item[a:b].tolist():
+                        if (row, i) not in whole and (span := verify(text, tokens[i], inside)) is not None:
+                            whole.add((row, i))
+                            found.append((row, item_ids[i], *span, len(tokens[i])))
             for row, i, diagonal in met:
                 text = signed(hashes[words.first[row] : words.first[row + 1]])
                 if (span := verify(text, tokens[i], diagonal)) is not None:
@@ -207,51 +231,78 @@ def item_seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def check_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verifies alignments that came from a join: text, item tokens and diagonals in each row."""
+    """The best alignment of each row's text and item, of the diagonals that came from a join."""
     for part in slices(batches):
         words = tokens_of(part.column("text"))
-        hashes, found = words.hashes(), []
+        hashes, rows, found = words.hashes(), [], []
         for row in range(part.num_rows):
             text = signed(hashes[words.first[row] : words.first[row + 1]])
             item = part.column("tokens")[row].values.to_numpy()
-            for diagonal in part.column("diagonals")[row].as_py():
-                if (span := verify(text, item, diagonal)) is not None:
-                    found.append((row, part.column("item_id")[row].as_py(), *span, len(item)))
-        yield report(found, part.column("doc_id"))
+            spans = (verify(text, item, diagonal) for diagonal in part.column("diagonals")[row].as_py())
+            best = min(((-m, a, b) for a, b, m in filter(None, spans)), default=None)
+            if best is not None:
+                rows.append(row)
+                found.append((*best, len(item)))
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        named = [part.column(c).take(pa.array(rows, pa.int64())) for c in ("doc_id", "text_key", "item")]
+        yield pa.RecordBatch.from_arrays([*named, *[pa.array(c, pa.int32()) for c in columns]], [c.split()[0] for c in CHECKED.split(", ")])
+
+
+CHECKED = "doc_id long, text_key long, item long, missed int, start int, stop int, length int"
 
 
 def joined_leaks(docs: DataFrame, items: DataFrame, numbers: list[int]) -> DataFrame:
-    """The same leaks for a benchmark of any size, by a join of the hashes."""
-    items = items.where(F.size("tokens") >= LEAST_ITEM).withColumn("item", F.xxhash64("item_id", "tokens"))
-    texts = docs.select("doc_id", F.hash("text").alias("text_key"), "text")
+    """The same leaks for a benchmark of any size, by a join of the hashes.
+
+    Texts and items that repeat are looked at once; the copies' rows are made from
+    their number at the end.
+    """
+    items = items.where(F.size("tokens") > 0).withColumn("item", F.xxhash64("tokens"))
+    names = items.select("item", "item_id").distinct()
+    shapes = items.groupBy("item").agg(F.first("tokens").alias("tokens"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    copies = texts.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
+    texts = texts.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     own = texts.mapInArrow(seed_rows(numbers), SEEDS)
-    theirs = items.select("item", "tokens").mapInArrow(item_seed_rows, "item long, hash long, item_place int").distinct()
+    theirs = shapes.mapInArrow(item_seed_rows, "item long, hash long, item_place int").distinct()
     met = (
         own.join(theirs, "hash")
         .groupBy("doc_id", "text_key", "item")
         .agg(F.collect_set(F.col("place") - F.col("item_place")).alias("diagonals"))
     )
-    a, b = met.alias("a"), texts.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key"))
+
+    def same(a: DataFrame, b: DataFrame):
+        return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
+
+    best = (
+        met.join(texts, same(met, texts))
+        .select(met["doc_id"], met["text_key"], "text", "item", "diagonals")
+        .join(shapes, "item")
+        .select("doc_id", "text_key", "text", "item", "tokens", "diagonals")
+        .mapInArrow(check_rows, CHECKED)
+        .join(names, "item")
+        .groupBy("doc_id", "text_key", "item_id")
+        .agg(F.min(F.struct("missed", "start", "stop", "length")).alias("best"))
+    )
     return (
-        a.join(b, same)
-        .select("b.doc_id", "b.text", "a.item", "a.diagonals")
-        .join(items, "item")
-        .select("doc_id", "text", "item_id", "tokens", "diagonals")
-        .mapInArrow(check_rows, LEAKS)
+        best.join(copies, same(best, copies))
+        .select(best["doc_id"], "item_id", "best", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .select("doc_id", "item_id", "best.start", "best.stop", (-F.col("best.missed")).alias("matched"), "best.length")
     )
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, most_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text)."""
-    items = materialize(benchmark.select("item_id", "text").mapInArrow(item_rows, ITEMS), "items")
-    length = F.size("tokens")
-    sums = items.agg(F.sum(length), F.max((length >= STRETCH).cast("int")), F.max(length.between(LEAST_ITEM, STRETCH - 1).cast("int"))).first()
-    numbers = seed_numbers(np.array([STRETCH * (sums[1] or 0), LEAST_ITEM * (sums[2] or 0)]))
+    items = materialize(benchmark.select("item_id", "text").mapInArrow(item_rows, ITEMS).distinct(), "items")
+    # lengths beyond the longest mask use the same masks
+    length = F.least(F.size("tokens"), F.lit(STRETCH))
+    lengths = [r.n for r in items.select(length.alias("n")).distinct().collect()]
+    total = items.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    numbers = seed_numbers(lengths)
     docs = docs.select("doc_id", "text")
     if not numbers:
         return docs.limit(0).mapInArrow(leak_rows([], []), LEAKS)
-    if (sums[0] or 0) * len(numbers) > most_seeds:
+    if total * len(MASKS) > most_seeds:
         return joined_leaks(docs, items, numbers)
     held = items.toArrow().combine_chunks()
     tokens = [np.asarray(x.values.to_numpy() if x.is_valid and len(x) else [], dtype=np.int64) for x in held.column("tokens")]

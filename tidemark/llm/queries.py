@@ -78,6 +78,40 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(top.y, w.doc_id)) AS component_id,
        w.doc_id = least(w.doc_id, coalesce(top.y, w.doc_id)) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN top ON top.x = w.doc_id
+    """,
+    "op9_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ts
+  FROM documents
+), b AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS its
+  FROM benchmark
+), i AS (  -- of 13 tokens with two changed, four neighbours are whole; of 8 to 12 with one changed as well
+  SELECT *, row_number() OVER () AS n, CASE WHEN len(its) < 8 THEN len(its) ELSE 4 END AS g, least(len(its), 13) AS width,
+         CASE WHEN len(its) >= 13 THEN 2 WHEN len(its) >= 8 THEN 1 ELSE 0 END AS may
+  FROM b WHERE len(its) > 0
+), item_grams AS (
+  SELECT n, g, p, array_to_string(its[p:p + g - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(its) - g + 2)) AS p FROM i)
+), doc_grams AS (
+  SELECT r, g, p, array_to_string(ts[p:p + g - 1], ' ') AS gram
+  FROM (SELECT r, ts, g, unnest(range(1, len(ts) - g + 2)) AS p FROM d, (SELECT DISTINCT g FROM i))
+), diagonals AS (
+  SELECT DISTINCT r, n, x.p - y.p AS diagonal FROM doc_grams x JOIN item_grams y USING (g, gram)
+), aligned AS (
+  SELECT r, n, diagonal, greatest(0, -diagonal) AS low, width, may, len(its) AS length,
+         list_transform(range(greatest(0, -diagonal), least(len(its), len(ts) - diagonal)), lambda k: CASE WHEN ts[k + diagonal + 1] = its[k + 1] THEN 1 ELSE 0 END) AS eq
+  FROM diagonals JOIN d USING (r) JOIN i USING (n)
+), good AS (
+  SELECT *, list_filter(range(0, len(eq) - width + 1), lambda k: list_sum(eq[k + 1:k + width]) >= width - may) AS hits FROM aligned WHERE len(eq) >= width
+), span AS (
+  SELECT r, n, low + diagonal + hits[1] AS start, low + diagonal + hits[-1] + width AS stop, list_sum(eq[hits[1] + 1:hits[-1] + width]) AS matched, length
+  FROM good WHERE len(hits) > 0
+)
+SELECT d.doc_id, item_id, CAST(best.start AS INTEGER) AS start, CAST(best.stop AS INTEGER) AS stop, CAST(-best.missed AS INTEGER) AS matched, CAST(best.length AS INTEGER) AS length
+FROM (
+  SELECT r, item_id, min({'missed': -matched, 'start': start, 'stop': stop, 'length': length}) AS best
+  FROM span JOIN i USING (n) GROUP BY r, item_id
+) JOIN d USING (r)
     """,
     "op11_prefix_trie": r"""
 WITH o AS (
