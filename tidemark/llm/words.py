@@ -2,7 +2,8 @@
 
 A word is a longest run of bytes outside ``\\x20 \\x09-\\x0D``; the UTF-8 bytes
 of a column are searched as one array, so no Python code runs per word. Word
-hashes are polynomial in the bytes modulo 2**64, scrambled afterwards; rolling
+hashes are polynomial in the bytes modulo 2**64, scrambled afterwards, those of
+words over 256 bytes a digest of them; rolling
 hashes of word windows are polynomial in the word hashes. Both come from
 running sums, which makes a window hash a subtraction and a product.
 """
@@ -10,6 +11,7 @@ running sums, which makes a window hash a subtraction and a product.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: odd bases, 5 modulo 8, so that their powers have the longest period; one per independent hash
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: longer words are hashed by a digest: modulo 2**64, long words can be written that collide for every base
+LONG_WORD = 256
 WORD_BASES = (0xBF58476D1CE4E5BD, 0x94D049BB133111ED)
 MASK = (1 << 64) - 1
 
@@ -67,8 +71,12 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        raw = segment_hash(self.data.astype(U64) + U64(1), self.starts, self.ends, BASES[which])
-        return mix(raw + (self.ends - self.starts).astype(U64))
+        size = self.ends - self.starts
+        found = mix(segment_hash(self.data.astype(U64) + U64(1), self.starts, self.ends, BASES[which]) + size.astype(U64))
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            own = self.data[self.starts[i] : self.ends[i]].tobytes()
+            found[i] = int.from_bytes(blake2b(own, digest_size=8, person=bytes([which])).digest(), "little")
+        return found
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
