@@ -62,6 +62,44 @@ def test_five_words_and_empty(docs, rows, no_docs):
     assert neardup.near_duplicates(no_docs, 5, 80).count() == 0
 
 
+def test_one_id_with_two_texts(spark, monkeypatch):
+    """A near copy of either text of an id belongs to it, through short and hot lists."""
+    r = random.Random(3)
+    one, two = [[f"{c}{r.randrange(10**6)}" for _ in range(90)] for c in "ab"]
+    near = lambda words, k: " ".join([*words[:k], "new", *words[k + 1 :]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, near(one, 30)), (7, near(two, 40)), (8, " ".join(two)), (4, near(two, 85)), (9, "other words here and there")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for longest in (60, 1):
+        monkeypatch.setattr(neardup, "LIST", longest)
+        assert sorted(map(tuple, neardup.near_duplicates(frame, 4, 80).collect()), key=str) == brute(rows, 4)
+
+
+def test_other_similarities(spark):
+    """Two of six words changed leave half of the shingles; the sketch follows the similarity asked for."""
+    assert (neardup.least_shared(80), neardup.hot_keys(80)) == (8, 10)
+    with pytest.raises(ValueError, match="no links"):
+        neardup.least_shared(40)
+    r = random.Random(8)
+    rows = [(1, "a b c d e f"), (2, "a b c d x y"), (3, "a b z q x y")]
+    for i in range(40):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(5, 60))]
+        rows += [(100 + 10 * i + k, " ".join(w if r.random() > 0.06 * k else "n" for w in base)) for k in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, similarity in ((1, 50), (2, 60), (3, 95), (2, 100)):
+        got = neardup.near_duplicates(frame, width, similarity).collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows, width, similarity)
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    """Two words of 2048 letters with equal polynomials modulo 2**64 for every odd base."""
+    order = "0"
+    while len(order) < 2048:
+        order += order.translate({48: 49, 49: 48})
+    rows = [(1, order.replace("0", "a").replace("1", "b")), (2, order.replace("0", "b").replace("1", "a"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, neardup.near_duplicates(frame, 4, 80).collect())) == brute(rows, 4)
+
+
 def test_components(spark):
     r = random.Random(1)
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200), (7, 7)]

@@ -16,18 +16,21 @@ A document's shingles are hashed once; the k least hashes are its sketch.
 * Pairs from short lists are confirmed on the full sets. Links become components
   by star contraction.
 
-Linked is who has 100 * |A and B| >= similarity * |A or B|. Sketches lose a link
-only if fewer than ``LEAST_SHARED`` of the k = 24 retained hashes meet, for a
-similarity of 0.8 a chance of 1e-7, and less above it.
+Linked is who has 100 * |A and B| >= similarity * |A or B|. How many of the k = 24
+retained hashes linked documents share at least, and how many hot hashes are looked
+at, follow from the similarity such that a link is lost with a chance of ``LOSS``
+at most; similarities too low for that are refused.
 
 Defined results: no words (or null text) means an empty set, linked with nothing.
-Rows with the same id are one document; rows without id are linked with nothing
-and have a null component; an empty table gives no rows.
+Rows with the same id are one document, linked through any of its texts; rows
+without id are linked with nothing and have a null component; an empty table gives
+no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -42,33 +45,39 @@ from tidemark.session import materialize
 
 #: retained hashes of a sketch
 SKETCH = 24
-#: so many retained hashes at least are shared by linked documents
-LEAST_SHARED = 8
+#: the chance that a link of just the similarity is lost
+LOSS = 1.1e-7
 #: documents in an inverted list whose pairs are made one by one
 LIST = 60
-#: hot hashes by which a document is compared in blocks; .2 ** 10 is the chance that none is shared
-HOT_KEYS = 10
 #: rows and shingles of a block
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 400_000
 
 SKETCHED = "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>"
-SETS = "id long, shingles array<long>"
+#: a class of equal sets is told by its least id and a hash of the set, as an id may have several texts
+CLASS = ["id", "key"]
+SETS = "id long, key long, shingles array<long>"
 LINKS = "u long, v long"
 
 
+def set_keys(value: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set."""
+    size = np.diff(bounds).astype(np.uint64)
+    return [signed(mix(segment_hash(value.view(np.uint64), bounds[:-1], bounds[1:], b) + size)) for b in WORD_BASES]
+
+
 def sketch_rows(width: int, k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             value, bounds = shingle_sets(part.column("text"), width)
             size = np.diff(bounds)
-            keys = [segment_hash(value.view(np.uint64), bounds[:-1], bounds[1:], b) for b in WORD_BASES]
+            keys = set_keys(value, bounds)
             held = np.minimum(size, k)
             rank = np.arange(len(value)) - np.repeat(bounds[:-1], size)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     pa.array(size.astype(np.int64)),
-                    *[pa.array(signed(mix(key + size.astype(np.uint64)))) for key in keys],
+                    *[pa.array(key) for key in keys],
                     list_array(value[rank < k], np.concatenate([[0], np.cumsum(held)])),
                 ],
                 ["doc_id", "n_shingles", "key1", "key2", "sketch"],
@@ -80,16 +89,34 @@ def sketch_rows(width: int, k: int):
 def set_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
+            value, bounds = shingle_sets(part.column("text"), width)
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), list_array(*shingle_sets(part.column("text"), width))], ["id", "shingles"]
+                [part.column("id"), pa.array(set_keys(value, bounds)[0]), list_array(value, bounds)], ["id", "key", "shingles"]
             )
 
     return rows
 
 
-def needed(n: Column) -> Column:
+def least_shared(similarity: int) -> int:
+    """Retained hashes that linked documents share but for a chance of LOSS."""
+    s, chance = similarity / 100, 0.0
+    for m in range(SKETCH + 1):
+        chance += comb(SKETCH, m) * s**m * (1 - s) ** (SKETCH - m)
+        if chance > LOSS:
+            break
+    if not m:
+        raise ValueError(f"sketches of {SKETCH} hashes find no links of similarity {similarity}")
+    return m
+
+
+def hot_keys(similarity: int) -> int:
+    """Hot hashes by which documents are compared, so that linked ones share one but for a chance of LOSS."""
+    return 1 if similarity >= 100 else ceil(log(LOSS) / log(1 - similarity / 100))
+
+
+def needed(n: Column, similarity: int) -> Column:
     """Retained hashes that a document with ``n`` shingles shares with any linked one."""
-    return F.least(F.lit(LEAST_SHARED), F.ceil(n * 0.8))
+    return F.least(F.lit(least_shared(similarity)), F.ceil(n * similarity / 100))
 
 
 def block_links(similarity: int):
@@ -118,11 +145,15 @@ def block_links(similarity: int):
             part = np.zeros((len(ids), 2048), dtype=np.float32)
             part[row[here], column[here] - low] = 1
             both += part @ part.T
-        near = 100 * both >= similarity * (size[:, None] + size[None, :] - both)
-        near |= np.eye(len(ids), dtype=bool)
-        label = np.arange(len(ids))
+        # row by row in strips, so that the square of the block is there once as numbers and once as flags
+        strips = [slice(low, low + 256) for low in range(0, len(ids), 256)]
+        near = np.eye(len(ids), dtype=bool)
+        for strip in strips:
+            near[strip] |= 100 * both[strip] >= similarity * (size[strip, None] + size[None, :] - both[strip])
+        del both
+        label = np.arange(len(ids), dtype=np.int32)
         while True:
-            least = np.where(near, label[None, :], len(ids)).min(axis=1)
+            least = np.concatenate([np.where(near[strip], label[None, :], label.size).min(axis=1) for strip in strips]).astype(np.int32)
             least = least[least]
             if (least == label).all():
                 break
@@ -134,26 +165,26 @@ def block_links(similarity: int):
 
 
 def hot_links(hot: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links among documents that may meet in hot lists only. ``hot``: (value, rank, id, n, hot)."""
+    """Links among documents that may meet in hot lists only. ``hot``: (value, rank, id, key, n, hot)."""
     from pyspark.sql import Window
 
-    first = F.row_number().over(Window.partitionBy("id").orderBy("rank"))
-    keyed = hot.where(F.col("hot") >= needed(F.col("n"))).where("length > 0").withColumn("_k", first)
-    keyed = keyed.where(F.col("_k") <= HOT_KEYS).select("value", "id", "n")
+    first = F.row_number().over(Window.partitionBy(*CLASS).orderBy("rank"))
+    keyed = hot.where(F.col("hot") >= needed(F.col("n"), similarity)).where("length > 0").withColumn("_k", first)
+    keyed = keyed.where(F.col("_k") <= hot_keys(similarity)).select("value", *CLASS, "n")
     blocks = keyed.groupBy("value").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     per = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = keyed.join(blocks.select("value", per.alias("blocks")), "value").withColumn(
-        "b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        "b", F.pmod(F.xxhash64(*CLASS), F.col("blocks")).cast("int")
     )
     # a block meets every other one once; a single block meets itself
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
         F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("b"))
     )
-    met = placed.select("value", "id", "b", F.explode(others).alias("o")).select(
-        "value", "id", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")
+    met = placed.select("value", *CLASS, "b", F.explode(others).alias("o")).select(
+        "value", *CLASS, F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")
     )
     return (
-        met.join(sets, "id")
+        met.join(sets, CLASS)
         .select("value", "low", "high", "id", "shingles")
         .groupBy("value", "low", "high")
         .applyInArrow(block_links(similarity), LINKS)
@@ -162,20 +193,22 @@ def hot_links(hot: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) -> DataFrame:
-    """Links (u, v) between class representatives; ``sketched``: (id, n_shingles, sketch) of those."""
+    """Links (u, v) between class representatives; ``sketched``: (id, key, n_shingles, sketch) of those."""
     posted = sketched.select(
-        "id", F.col("n_shingles").alias("n"), F.posexplode("sketch").alias("rank", "value")
+        *CLASS, F.col("n_shingles").alias("n"), F.posexplode("sketch").alias("rank", "value")
     )
     lengths = posted.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     met = posted.join(lengths, "value")
-    hot_count = met.groupBy("id").agg(F.sum((F.col("length") > LIST).cast("int")).alias("hot"))
-    met = materialize(met.join(hot_count, "id"), "postings")
+    hot_count = met.groupBy(*CLASS).agg(F.sum((F.col("length") > LIST).cast("int")).alias("hot"))
+    met = materialize(met.join(hot_count, CLASS), "postings")
     short = met.where(F.col("length") <= LIST).drop("length")
     a, b = [short.select(*[F.col(c).alias(f"{c}_{x}" if c != "value" else c) for c in short.columns]) for x in "ab"]
     close = F.expr(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+    both_ways = ["id_a", "key_a", "id_b", "key_b"]
     pairs = (
+        # classes of one id are one document already
         a.join(b, (a["value"] == b["value"]) & (F.col("id_a") < F.col("id_b")) & close)
-        .groupBy("id_a", "id_b")
+        .groupBy(*both_ways)
         .agg(
             # ranks count from 0; both ascend with the hash, so sorting the sums keeps the order of the shared hashes
             F.sort_array(F.collect_list((F.col("rank_a") + F.col("rank_b") + 2).cast("int"))).alias("at"),
@@ -186,20 +219,20 @@ def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity
     )
     # the j-th shared hash stands at rank_a + rank_b - j of the union
     in_union = F.size(F.filter("at", lambda x, j: x - (j + 1) <= SKETCH))
-    pairs = pairs.where(in_union + F.col("hot") >= needed(F.greatest("n_a", "n_b"))).select("id_a", "id_b", "n_a", "n_b")
+    pairs = pairs.where(in_union + F.col("hot") >= needed(F.greatest("n_a", "n_b"), similarity)).select(*both_ways, "n_a", "n_b")
     pairs = materialize(pairs, "pairs")
-    in_hot = met.where(F.col("hot") >= needed(F.col("n"))).select("id")
+    in_hot = met.where(F.col("hot") >= needed(F.col("n"), similarity)).select("id")
     ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id")))
     sets = (
         docs.select(F.col("doc_id").alias("id"), "text")
         .join(ids.unionByName(in_hot).distinct(), "id", "left_semi")
         .mapInArrow(set_rows(width), SETS)
     )
-    one, two = [sets.select(F.col("id").alias(f"id_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    one, two = [sets.select(*[F.col(c).alias(f"{c}_{x}") for c in CLASS], F.col("shingles").alias(f"set_{x}")) for x in "ab"]
     both = F.size(F.array_intersect("set_a", "set_b"))
     links = (
-        pairs.join(one, "id_a")
-        .join(two, "id_b")
+        pairs.join(one, ["id_a", "key_a"])
+        .join(two, ["id_b", "key_b"])
         .withColumn("both", both)
         .where(f"100 * both >= {similarity} * (n_a + n_b - both)")
         .select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
@@ -215,7 +248,8 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int) -> DataFrame:
     classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("id"))
     members = named.select("doc_id", "key1", "key2").join(classes, ["key1", "key2"]).select("doc_id", "id")
     leads = named.join(classes.select("key1", "key2", "id"), ["key1", "key2"]).where("doc_id = id")
-    links = confirmed_links(docs, leads.select("id", "n_shingles", "sketch").dropDuplicates(["id"]), width, similarity)
+    leads = leads.select("id", F.col("key1").alias("key"), "n_shingles", "sketch").dropDuplicates(CLASS)
+    links = confirmed_links(docs, leads, width, similarity)
     # rows that share an id tie their classes together
     ties = (
         members.groupBy("doc_id")
