@@ -53,7 +53,7 @@ U64 = np.uint64
 #: counts up to this one are discounted
 CUT = 5
 #: bytes of text in a block, and for each bucket of pairs
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: tokens that stand for the beginning and the end; words have other hashes but for a chance of 2 in 2**64
 BEGIN, END = 0, 1
 #: a context is frequent with this share of a bucket's tokens, in a sample of so many bytes for each bucket
@@ -143,6 +143,16 @@ class Model:
         return np.log10((count + ADDED) / (self.tokens + ADDED * (self.words + 1)))
 
 
+def block_words(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each row, and the hashes of all; worked on in slices, as hashing needs many bytes for each byte of text."""
+    counts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for part in slices(pa.table([texts], ["text"]).to_batches()):
+        found = words_of(part.column("text"), lower=True)
+        counts.append(np.diff(found.first))
+        hashes.append(found.hashes())
+    return np.concatenate(counts), np.concatenate(hashes)
+
+
 @dataclass
 class Pairs:
     """The tokens of a block and its different pairs, which are ordered by bucket, context and word.
@@ -161,28 +171,34 @@ class Pairs:
     bounds: np.ndarray
 
     @classmethod
-    def of(cls, texts: pa.Array, buckets: int, frequent: np.ndarray) -> Pairs:
-        found = words_of(texts, lower=True)
-        rows = len(found.first) - 1
-        row = np.repeat(np.arange(rows), np.diff(found.first) + 1)
+    def of(cls, texts: pa.ChunkedArray, buckets: int, frequent: np.ndarray) -> Pairs:
+        count, hashes = block_words(texts)
+        rows = len(count)
+        row = np.repeat(np.arange(rows, dtype=np.int32), count + 1)
         word = np.full(len(row), END, dtype=U64)
-        last = np.zeros(len(row), dtype=bool)
-        last[found.first[1:] + np.arange(rows)] = True
-        word[~last] = found.hashes()
+        stop = np.cumsum(count + 1)
+        inside = np.ones(len(row), dtype=bool)
+        inside[stop - 1] = False
+        word[inside] = hashes
         context = np.empty_like(word)
         context[1:] = word[:-1]
-        context[found.first[:-1] + np.arange(rows)] = BEGIN
+        context[stop - count - 1] = BEGIN
+        del hashes, inside
         contexts, c = np.unique(context, return_inverse=True)
         words, w = np.unique(word, return_inverse=True)
-        code, pair = np.unique(c * len(words) + w, return_inverse=True)
-        of_context, of_word = code // max(len(words), 1), code % max(len(words), 1)
+        del context, word
+        c *= len(words)
+        c += w
+        code, pair = np.unique(c, return_inverse=True)
+        del c, w
+        of_context, of_word = [x.astype(np.int32) for x in np.divmod(code, max(len(words), 1))]
         key = mix(contexts)[of_context]
         spread = np.isin(contexts, frequent)[of_context]
         key[spread] = mix(key[spread] + words[of_word[spread]])
         bucket = (key % U64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        at = np.empty_like(order)
-        at[order] = np.arange(len(order))
+        at = np.empty(len(order), dtype=np.int32)
+        at[order] = np.arange(len(order), dtype=np.int32)
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         return cls(row, at[pair], contexts, words, of_context[order], of_word[order], bounds)
 
