@@ -134,24 +134,48 @@ def test_dense_ids_with_a_hot_key(spark):
     assert out.transaction_id.nunique() == len(out)
 
 
-def test_copies_spread_over_blocks_when_ordered(spark):
-    from tidemark.operators.ranking import place_in_order
-
+def test_copies_are_numbered_each(spark):
     copies = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("k"))
-    placed = place_in_order(copies, [F.col("k")])
-    assert placed.count() == 200_000
     ids = dense_row_ids(copies, [F.col("k")])
     assert ids.agg(F.min("row_id"), F.max("row_id"), F.countDistinct("row_id")).first()[:] == (0, 199_999, 200_000)
 
 
-def test_long_heads_are_cut_by_rank(spark, monkeypatch):
-    from tidemark.operators import ranking
+def test_rows_of_a_hot_key_spread_over_blocks(spark):
+    from tidemark.operators.ranking import place_in_order
 
-    tx = transactions(spark, SMALL).select("transaction_id", "tx_amount")
-    order = [F.col("tx_amount").desc(), F.col("transaction_id")]
-    head = first_in_order(tx, order, 100)
-    assert "rangepartitioning" not in head.select(F.to_json(F.struct("*")))._jdf.queryExecution().executedPlan().toString()
-    short = head.collect()
-    monkeypatch.setattr(ranking, "HEAD_LIMIT", 10)
-    assert first_in_order(tx, [], 100).count() == 100
-    assert {r.transaction_id for r in first_in_order(tx, order, 100).collect()} == {r.transaction_id for r in short}
+    rows = spark.range(0, 200_000, 1, 8).select(F.lit(1).alias("k"), "id")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # would make one block of so few rows
+    spark.conf.set(merging, "false")
+    try:
+        placed = place_in_order(rows, [F.col("k")])
+    finally:
+        spark.conf.set(merging, "true")
+    assert placed.groupBy("block").count().agg(F.max("count")).first()[0] < 60_000
+
+
+def heads(spark):
+    tx = transactions(spark, SMALL).select("transaction_id", "tx_amount", "tx_datetime")
+    gaps = F.when(F.col("transaction_id") % 7 > 0, F.col("tx_datetime"))
+    same = tx.withColumn("tx_datetime", gaps).withColumn("day", F.to_date("tx_datetime"))
+    far = F.when(F.col("transaction_id") % 2 == 0, F.lit(-(2**63))).otherwise(F.lit(2**63 - 1) - F.col("transaction_id"))
+    return same.withColumn("far", far).withColumn("name", F.concat(F.lit("n"), F.col("transaction_id") % 5))
+
+
+@pytest.mark.parametrize("keys", [["tx_datetime", "transaction_id"], ["day", "transaction_id"], ["far", "transaction_id"], ["day", "name", "tx_amount", "transaction_id"], ["tx_amount"]])
+@pytest.mark.parametrize("n", [1, 100, 857, 858, 930, 1000, 5000])
+def test_heads_by_counting(spark, keys, n):
+    df = heads(spark)
+    columns = [F.col(k) for k in keys]
+    want = df.orderBy(*[c.asc_nulls_last() for c in columns]).limit(n)
+    got = first_in_order(df, columns, n)
+    assert sorted(map(repr, got.select(*keys).collect())) == sorted(map(repr, want.select(*keys).collect()))
+
+
+def test_a_long_head_is_a_filter(spark):
+    df = transactions(spark, SMALL).unionByName(transactions(spark, SMALL))
+    plan = first_in_order(spark.range(300_000).withColumn("t", F.timestamp_seconds(F.col("id") % 200_000)), [F.col("t"), F.col("id")], 150_001)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in text and "Exchange" not in text and plan.count() == 150_001
+    # equal throughout: cut by number
+    assert first_in_order(df, [F.col("tx_datetime"), F.col("transaction_id")], 101).count() == 101
+    assert first_in_order(df, [], 100).count() == 100 and first_in_order(df, [F.col("tx_datetime")], 0).count() == 0

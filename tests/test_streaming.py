@@ -10,7 +10,6 @@ from tidemark.checks import inputs
 from tidemark.functions import messages
 from tidemark.functions.scoring import add_latency, apply_scorer
 from tidemark.operators.forest import ForestParams, fit_forest
-from tidemark.plans.replay import paced_stream, replay_messages, time_slots
 from tidemark.schema import PREDICTION_FIELDS, REQUEST_FEATURES, TRANSACTION_COLUMNS
 from tidemark.session import scratch_path
 from tidemark.sources.tables import transactions
@@ -142,34 +141,6 @@ def test_topic_sink_options():
     assert "topic" not in TopicSink(Broker("h", "u", "p")).attach(Writer(), None)
 
 
-def test_replay_is_time_ordered_and_limited(spark):
-    tx = transactions(spark, SMALL)
-    sent = replay_messages(tx, max_messages=10).collect()
-    first = [str(r.transaction_id) for r in tx.orderBy("tx_datetime", "transaction_id").limit(10).collect()]
-    assert [r.key for r in sent] == first
-    assert replay_messages(tx, max_messages=7, ordered=False).count() == 7
-    assert replay_messages(tx, max_messages=None).count() == 1000
-    with pytest.raises(ValueError, match="key column"):
-        replay_messages(tx, key="none")
-
-
-def test_paced_stream_delivers_slots_in_order(spark):
-    tx = transactions(spark, SMALL)
-    slotted = time_slots(tx.withColumn("tx_datetime", F.date_format("tx_datetime", "yyyy-MM-dd HH:mm:ss")), rate=100)
-    path = scratch_path(spark, "paced")
-    out = paced_stream(spark, slotted, rate=100)
-    query = out.writeStream.format("parquet").option("checkpointLocation", f"{path}-c").trigger(processingTime="1 second").start(path)
-    deadline = time.monotonic() + 60
-    while query.isActive and query.lastProgress is None or (query.lastProgress or {}).get("batchId", 0) < 12:
-        assert time.monotonic() < deadline
-        time.sleep(0.3)
-    query.stop()
-    got = spark.read.parquet(path)
-    assert got.count() == 1000 and got.select("key").distinct().count() == 1000
-    due = {rate: [r.n for r in time_slots(tx, rate).groupBy("slot").agg(F.count("*").alias("n")).orderBy("slot").collect()] for rate in (0, 400.5)}
-    assert due == {0: [1000], 400.5: [401, 400, 199]}
-
-
 def test_scores_of_stored_columns(spark):
     assert apply_scorer(transactions(spark, SMALL), inputs.scorer_a(), threshold=0.9).filter("score >= 0.9 AND prediction = 0").count() == 0
     assert len(TRANSACTION_COLUMNS) == 9

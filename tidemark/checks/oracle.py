@@ -405,6 +405,14 @@ oracle(
     "tx",
 )
 
+oracle(
+    "replay_paced",
+    """SELECT CAST(CAST(floor(seq / CAST(1200.5 AS DOUBLE)) AS BIGINT) // 2 AS INTEGER) AS span, CAST(transaction_id AS VARCHAR) AS key,
+              r.* EXCLUDE (seq) REPLACE (strftime(tx_datetime, '%Y-%m-%d %H:%M:%S') AS tx_datetime)
+       FROM (SELECT *, row_number() OVER (ORDER BY date_trunc('second', tx_datetime), transaction_id) - 1 AS seq FROM tx) AS r""",
+    "tx",
+)
+
 # --- weights and metrics ---------------------------------------------------------------
 
 TRAIN_COUNTS = """(SELECT count(*) FILTER (tx_fraud = 0) AS count_0, count(*) FILTER (tx_fraud = 1) AS count_1

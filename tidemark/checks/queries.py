@@ -19,7 +19,7 @@ from tidemark.operators.forest import ForestParams, fit_forest, search_forest
 from tidemark.operators.ranking import dense_row_ids, first_in_order
 from tidemark.operators.split import side, validation_split
 from tidemark.plans.ab_test import cells_of, compare_cells
-from tidemark.plans.replay import replay_messages, time_order, time_slots
+from tidemark.plans.replay import replay_messages, start_paced, time_keys, time_slots
 from tidemark.plans.requests import impute_requests, score_requests
 from tidemark.schema import (
     DATETIME_FORMAT,
@@ -43,6 +43,8 @@ ITERATIONS = 100
 SEED = 42
 #: rows of the query about the head of a replay
 HEAD = 5000
+#: messages a second, and seconds published at once, of the query about a paced replay
+PACE, PACE_SECONDS = 1200.5, 2
 DRAIN = {"availableNow": True}
 
 
@@ -245,7 +247,7 @@ def dense_row_id(spark, sf_dir):
 @query
 def replay_first_n(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    return first_in_order(tx, time_order(tx), HEAD)
+    return first_in_order(tx, time_keys(tx), HEAD)
 
 
 @query
@@ -253,11 +255,29 @@ def replay_slots(spark, sf_dir):
     return time_slots(transactions(spark, sf_dir)).select("transaction_id", "seq", "slot")
 
 
+def _as_sent(spark, sf_dir):
+    tx = transactions(spark, sf_dir)
+    return tx.withColumn("tx_datetime", F.date_format("tx_datetime", DATETIME_FORMAT))
+
+
 @query
 def replay_messages_(spark, sf_dir):
-    tx = transactions(spark, sf_dir)
-    sent = replay_messages(tx.withColumn("tx_datetime", F.date_format("tx_datetime", DATETIME_FORMAT)))
-    return _parsed_back(sent)
+    """One named batch, written twice by a job that is repeated, and read back."""
+    sink = FileSink(scratch_path(spark, "batches"))
+    for _ in range(2):
+        sink.write_batch(replay_messages(_as_sent(spark, sf_dir)), stream.INPUT_TOPIC, "replay")
+    return _parsed_back(sink.read_batches(spark))
+
+
+@query
+def replay_paced(spark, sf_dir):
+    """All rows through a paced stream: the span each one was published in, and what was sent."""
+    sink = FileSink(scratch_path(spark, "paced-topic"))
+    fast = {"processingTime": "0 seconds"}
+    replay = start_paced(_as_sent(spark, sf_dir), sink, stream.INPUT_TOPIC, scratch_path(spark, "offsets"), PACE, PACE_SECONDS, trigger=fast)
+    replay.finish()
+    sent = sink.read_batches(spark).withColumn("payload", F.from_json("value", MESSAGE_SCHEMA))
+    return sent.select(F.col("batch").cast("int").alias("span"), "key", "payload.*")
 
 
 # --- weights and metrics -------------------------------------------------------

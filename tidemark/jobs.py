@@ -38,8 +38,11 @@ def _parser() -> argparse.ArgumentParser:
         return sub
 
     def stored(sub):
-        sub.add_argument("--input", required=True)
+        by_suffix(sub)
         sub.add_argument("--input-format", default="auto", choices=["auto", "txt", "parquet"])
+
+    def by_suffix(sub):
+        sub.add_argument("--input", required=True)
         for key in ("endpoint-url", "access-key", "secret-key"):
             sub.add_argument(f"--s3-{key}")
 
@@ -64,10 +67,13 @@ def _parser() -> argparse.ArgumentParser:
     ab.add_argument("--alpha", type=float, default=0.01)
     ab.add_argument("--auto-deploy", action="store_true")
 
-    replay = job("replay", stored, broker)
+    replay = job("replay", by_suffix, broker)
     replay.add_argument("--topic", default=stream.INPUT_TOPIC)
     replay.add_argument("--key-column", default="transaction_id")
     replay.add_argument("--max-messages", type=int, help="stop after so many; all messages if not given")
+    replay.add_argument("--rate", type=float, help="messages a second, paced by a stream; one batch if not given")
+    replay.add_argument("--every", type=int, default=1, help="seconds that a paced replay publishes at once")
+    replay.add_argument("--checkpoint", help="where a paced replay keeps how far it came")
 
     score = job("score-stream", versions, broker)
     score.add_argument("--alias", default=CHAMPION)
@@ -81,7 +87,7 @@ def _parser() -> argparse.ArgumentParser:
     score.add_argument("--features", help="comma-separated; those of the model if not given")
     score.add_argument("--separate-queries", action="store_true", help="one query per topic, each reading the source")
 
-    requests = job("score-requests", stored, versions)
+    requests = job("score-requests", by_suffix, versions)
     requests.add_argument("--output", required=True)
     requests.add_argument("--alias", default=CHAMPION)
     requests.add_argument("--threshold", type=float, default=float(os.environ.get("SCORE_THRESHOLD", "0.5")))
@@ -143,7 +149,11 @@ def run(args, spark) -> None:
             print(f"should_deploy={result.should_deploy} promoted={result.promoted}")
     elif args.job == "replay":
         broker = Broker(args.servers, args.username, args.password)
-        replay_plan.replay_to_topic(spark, args.input, broker, args.topic, args.key_column, args.max_messages)
+        what = (spark, args.input, TopicSink(broker), args.topic, args.key_column, args.max_messages)
+        if args.rate is None:
+            replay_plan.replay_to_topic(*what)
+        else:
+            replay_plan.paced_to_topic(*what, args.rate, args.every, args.checkpoint)
     elif args.job == "score-stream":
         broker = Broker(args.servers, args.username, args.password)
         model = _loaded(registry, args)

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import threading
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.calendar import parse_datetime
 from tidemark.functions.cleaning import reject_empty
 from tidemark.functions.messages import to_messages
 from tidemark.operators.ranking import dense_row_ids, first_in_order
+from tidemark.session import scratch_path
 from tidemark.sources.files import load_replay
-from tidemark.sources.topics import Broker, write_topic_batch
+from tidemark.sources.paths import path_exists
 
 # Fixed value: default pace of a replay.
 DEFAULT_RATE = 50
 
+LAID_OUT = "key string, value string, seq long, slot long"
+
+
+def time_keys(df: DataFrame) -> list[Column]:
+    """Event time first, with what is no time last; the other columns make the order of equals repeatable."""
+    kinds, found = dict(df.dtypes), []
+    if "tx_datetime" in kinds:
+        time = F.col("tx_datetime")
+        found = [parse_datetime(time), time] if kinds["tx_datetime"] == "string" else [time]
+    first = [c for c in ("transaction_id",) if c in kinds]
+    return found[:1] + [F.col(c) for c in first] + found[1:] + [F.col(c) for c in df.columns if c not in ("tx_datetime", *first)]
+
 
-def time_order(df: DataFrame) -> list:
-    """Event time first; the other columns make the order of equals repeatable."""
-    first = [c for c in ("tx_datetime", "transaction_id") if c in df.columns]
-    return [F.col(c) for c in first + [c for c in df.columns if c not in first]]
+def time_order(df: DataFrame) -> list[Column]:
+    return [key.asc_nulls_last() for key in time_keys(df)]
 
 
 def replay_messages(
@@ -30,20 +46,24 @@ def replay_messages(
     """(key, value) messages of all rows, or of the first ``max_messages``: by
     event time if ``ordered``, else of any rows."""
     if max_messages is not None:
-        df = first_in_order(df, time_order(df) if ordered else [], max_messages)
+        df = first_in_order(df, time_keys(df) if ordered else [], max_messages)
     return to_messages(df, key)
 
 
 def replay_to_topic(
     spark: SparkSession,
     path: str,
-    broker: Broker,
+    sink,
     topic: str,
     key: str = "transaction_id",
     max_messages: int | None = None,
-) -> None:
-    """Read a stored file and publish it as one batch."""
-    write_topic_batch(replay_messages(load_replay(spark, path), key, max_messages), broker, topic)
+    batch: str | None = None,
+) -> bool:
+    """Read a stored file and publish it as one batch.
+
+    A job that is repeated with the same ``batch`` adds nothing to a file sink.
+    """
+    return sink.write_batch(replay_messages(load_replay(spark, path), key, max_messages), topic, batch)
 
 
 def time_slots(df: DataFrame, rate: float = DEFAULT_RATE) -> DataFrame:
@@ -53,18 +73,120 @@ def time_slots(df: DataFrame, rate: float = DEFAULT_RATE) -> DataFrame:
     less) all rows are due at once.
     """
     ranked = dense_row_ids(df, time_order(df), "seq")
-    slot = F.floor(F.col("seq") / F.lit(float(rate))) if rate > 0 else F.lit(0)
-    return ranked.withColumn("slot", slot.cast("long"))
+    return ranked.withColumn("slot", slot_of(F.col("seq"), rate))
+
 
+def slot_of(seq: Column, rate: float) -> Column:
+    return (F.floor(seq / F.lit(float(rate))) if rate > 0 else F.lit(0)).cast("long")
 
-def paced_stream(spark: SparkSession, slotted: DataFrame, rate: int = DEFAULT_RATE, key: str = "transaction_id") -> DataFrame:
-    """Messages as a stream of ``rate`` rows per micro-batch.
 
-    A counter stream joins the numbered rows; with a one-second trigger that is
-    ``rate`` messages per second, in time order from batch to batch.
+@dataclass(frozen=True)
+class PacedTable:
+    """Messages laid out by when they are due: a folder for each span of ``every`` seconds."""
+
+    path: str
+    every: int
+    last: int  # the last span
+
+    def span(self, spark: SparkSession, number: int) -> DataFrame | None:
+        """The messages of one span, read from its folder alone; None if nothing is due in it."""
+        folder = f"{self.path}/span={number}"
+        return spark.read.schema(LAID_OUT).parquet(folder) if path_exists(spark, folder) else None
+
+
+def lay_out(df: DataFrame, rate: float = DEFAULT_RATE, every: int = 1, key: str = "transaction_id") -> PacedTable:
+    """Write the messages of ``df`` in the spans they are due in, in order within a file.
+
+    ``every`` should be so many seconds that a span has rows enough for a file. The
+    numbered rows lie in order already, so they are written without a shuffle.
+    """
+    spark = reject_empty(df, "replay input").sparkSession
+    slotted = time_slots(df, rate)
+    sent = slotted.select(
+        F.col(key).cast("string").alias("key"),
+        F.to_json(F.struct(*df.columns)).alias("value"),
+        "seq",
+        "slot",
+        F.expr(f"slot div {every}").alias("span"),
+    )
+    path = scratch_path(spark, "paced")
+    sent.sortWithinPartitions("span", "seq").write.partitionBy("span").parquet(path)
+    last = spark.read.schema(f"{LAID_OUT}, span long").parquet(path).agg(F.max("slot")).first()[0]
+    return PacedTable(path, every, last // every)
+
+
+class PacedReplay:
+    """A running replay: each micro-batch publishes one span and reads nothing else.
+
+    The source is a counter whose offset is the span, so the checkpoint knows how
+    far the replay came. A span is a named batch of the sink: one that was published
+    when the job ended is not published again by the job that goes on.
     """
-    reject_empty(slotted, "replay input")
-    counter = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rate).load()
-    due = counter.select(F.col("value").alias("seq"))
-    columns = [c for c in slotted.columns if c not in ("seq", "slot")]
-    return to_messages(due.join(slotted, "seq").select(*columns), key)
+
+    def __init__(self, spark: SparkSession, table: PacedTable, sink, topic: str, checkpoint: str, trigger: dict | None = None):
+        self.table, self.sink, self.topic = table, sink, topic
+        self._ended = threading.Event()
+        counter = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+        writer = counter.select("value").writeStream.foreachBatch(self._publish)
+        pace = trigger or {"processingTime": f"{table.every} seconds"}
+        self.query: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(**pace).start()
+
+    def _publish(self, due: DataFrame, number: int) -> None:
+        # one row: the counter gives one number in each micro-batch
+        for row in due.collect():
+            if row.value > self.table.last:  # so the batch of the last span is in the checkpoint
+                self._ended.set()
+            elif (messages := self.table.span(due.sparkSession, row.value)) is not None:
+                self.sink.write_batch(messages, self.topic, f"{row.value:012d}")
+
+    def finish(self, seconds: float | None = None) -> bool:
+        """Wait until the last row is published, or so long; then stop. True if the replay came to its end.
+
+        A failure of the query is raised here.
+        """
+        waited = 0.0
+        try:
+            while not self._ended.wait(0.05):
+                waited += 0.05
+                if not self.query.isActive:
+                    break
+                if seconds is not None and waited >= seconds:
+                    break
+        finally:
+            failure = self.query.exception()
+            self.query.stop()
+        if failure is not None:
+            raise failure
+        return self._ended.is_set()
+
+
+def start_paced(
+    df: DataFrame,
+    sink,
+    topic: str,
+    checkpoint: str,
+    rate: float = DEFAULT_RATE,
+    every: int = 1,
+    key: str = "transaction_id",
+    trigger: dict | None = None,
+) -> PacedReplay:
+    """Publish ``df`` in time order at ``rate`` messages a second, 0 or less for all at once."""
+    return PacedReplay(df.sparkSession, lay_out(df, rate, every, key), sink, topic, checkpoint, trigger)
+
+
+def paced_to_topic(
+    spark: SparkSession,
+    path: str,
+    sink,
+    topic: str,
+    key: str = "transaction_id",
+    max_messages: int | None = None,
+    rate: float = DEFAULT_RATE,
+    every: int = 1,
+    checkpoint: str | None = None,
+) -> bool:
+    """Read a stored file and publish it in time order at a pace, to its end."""
+    rows = load_replay(spark, path)
+    if max_messages is not None:
+        rows = first_in_order(rows, time_keys(rows), max_messages)
+    return start_paced(rows, sink, topic, checkpoint or scratch_path(spark, "paced-offsets"), rate, every, key).finish()

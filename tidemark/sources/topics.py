@@ -3,16 +3,23 @@
 All adapters speak the same frames: (key, value, timestamp) in and
 (key, value) out, so everything between them is broker-free. The broker
 connector is a separate Spark package and has to be on the classpath.
+
+A batch of messages has a name. The file sink adds a named batch once, however
+often the job that writes it is repeated; a broker has no such step and may get
+messages again when a job is.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.sources.paths import path_exists, rename_new
+
 # The login module, and the time between micro-batches.
 LOGIN_MODULE = "org.apache.kafka.common.security.scram.ScramLoginModule"
 DEFAULT_TRIGGER = {"processingTime": "15 seconds"}
@@ -60,10 +67,6 @@ def read_topic(spark: SparkSession, broker: Broker, topic: str, max_offsets: int
     return spark.readStream.format("kafka").options(**source_options(broker, topic, max_offsets)).load()
 
 
-def write_topic_batch(messages: DataFrame, broker: Broker, topic: str) -> None:
-    messages.write.format("kafka").options(**broker.options()).option("topic", topic).save()
-
-
 def read_message_files(spark: SparkSession, path: str, options: Mapping[str, str] | None = None) -> DataFrame:
     """Stream Parquet files of (key, value, timestamp)."""
     return spark.readStream.schema(MESSAGE_FRAME).options(**(options or {})).parquet(path)
@@ -79,10 +82,24 @@ class TopicSink:
         writer = writer.format("kafka").options(**self.broker.options())
         return writer.option("topic", topic) if topic else writer
 
+    def write_batch(self, messages: DataFrame, topic: str, batch: str | None = None) -> bool:
+        """Send a batch frame. The broker takes messages as they come, so the name is not used."""
+        messages.select("key", "value").write.format("kafka").options(**self.broker.options()).option("topic", topic).save()
+        return True
+
+
+#: below the folder of a file sink; names that begin so are skipped by readers
+STAGING = "_staging"
+BATCH_FRAME = "key string, value string, topic string, batch string"
+
 
 @dataclass(frozen=True)
 class FileSink:
-    """Stream sink that writes one Parquet folder per topic below ``root``."""
+    """Sink that writes one Parquet folder per topic below ``root``.
+
+    A stream keeps its own log in the folder of its topic, so a folder takes
+    either streams or named batches.
+    """
 
     root: str
 
@@ -92,6 +109,27 @@ class FileSink:
             return writer.option("path", f"{self.root}/topic={topic}")
         return writer.option("path", self.root).partitionBy("topic")
 
+    def write_batch(self, messages: DataFrame, topic: str, batch: str | None = None) -> bool:
+        """Add a named batch; False if it was there already.
+
+        The rows go to a staging folder, where Spark lets one attempt of each task
+        count, and become visible by one rename. A job that failed before it leaves
+        nothing to be read, and one that is repeated after it adds nothing. Of two
+        jobs that write a batch at the same time, one wins.
+        """
+        spark = messages.sparkSession
+        batch = batch or uuid.uuid4().hex
+        target = f"{self.root}/topic={topic}/batch={batch}"
+        if path_exists(spark, target):
+            return False
+        staged = f"{self.root}/{STAGING}/{topic}-{batch}-{uuid.uuid4().hex}"
+        messages.select("key", "value").write.parquet(staged)
+        return rename_new(spark, staged, target)
+
+    def read_batches(self, spark: SparkSession) -> DataFrame:
+        """(key, value, topic, batch) of all batches that were added."""
+        return spark.read.schema(BATCH_FRAME).parquet(self.root)
+
 
 def start_write(
     messages: DataFrame,
