@@ -129,11 +129,22 @@ def test_row_join_needs_no_broadcast(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert {tuple(r) for r in R.bootstrap_by_rows(frame, 10, 3).collect()} == small
+        shuffled = R.bootstrap_by_rows(frame, 10, 3)
+        assert {tuple(r) for r in shuffled.collect()} == small
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_rows_of_other_labels_are_in_no_cell(spark):
+    frame = spark.createDataFrame([(i, (0, 1, 2, None)[i % 4], i % 2) for i in range(40)], "row_id long, y_true int, y_pred int")
+    rows = R.bootstrap_by_rows(frame, 30, 5).collect()
+    assert len(rows) == 30 and all(r.fp == 0 and r.fn == 0 and r.tn + r.tp < 40 for r in rows)
+    with pytest.raises(ValueError, match="row ids"):
+        R.bootstrap_by_rows(frame.where("row_id <> 3"), 3, 5)
+
+
 def test_nothing_to_resample(spark):
     with pytest.raises(ValueError, match="nothing to resample"):
         R.bootstrap_by_cells(spark, dict.fromkeys(("tp", "fp", "tn", "fn"), 0))

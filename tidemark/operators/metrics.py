@@ -1,23 +1,28 @@
 """Evaluation of scored transactions as aggregates.
 
 Scored frames hold the label, ``score`` and a 0/1 ``prediction``. One pass
-groups them by score; every metric is a sum over those groups. Counts stay
-whole numbers until the last division, so results do not depend on the order
-in which partitions are added up.
+groups them by score; every metric is a sum over those groups. Counts and the
+sum below the ROC curve stay whole numbers until the last division, so they do not
+depend on the order in which partitions are added up; the sum below the precision
+curve is one of doubles, and may differ in its last digits.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import block_offsets, place_in_order
+from tidemark.operators.ranking import block_offsets
 from tidemark.schema import LABEL
 
 CELLS = ("tp", "fp", "tn", "fn")
 EVALUATION = ("auc", "pr_auc", "accuracy", "f1", "fraud_precision", "fraud_recall") + CELLS
 #: products of two row counts need more than 64 bits
 WIDE = "decimal(38,0)"
+#: rows whose scores one block of the curve holds, and most blocks
+ROWS_PER_BLOCK, MOST_BLOCKS = 500_000, 256
 
 
 def cell_counts(label: str = LABEL, prediction: str = "prediction") -> dict[str, Column]:
@@ -92,19 +97,46 @@ def class_scores(scored: DataFrame, label: str = LABEL, prediction: str = "predi
     return counts.select(_accuracy().alias("accuracy"), _weighted_f1().alias("f1"))
 
 
+def score_cuts(scored: DataFrame) -> list[float]:
+    """Ascending scores that cut the rows into blocks of about equal size; none for few rows.
+
+    They only deal out the work: approximate quantiles are as good as exact ones.
+    """
+    shares = [i / MOST_BLOCKS for i in range(1, MOST_BLOCKS)]
+    found = scored.agg(F.count("score"), F.percentile_approx(F.col("score").cast("double"), shares)).first()
+    step = MOST_BLOCKS / min(MOST_BLOCKS, max(1, -(-found[0] // ROWS_PER_BLOCK)))
+    cuts = [] if not found[1] else [found[1][max(0, round(i * step) - 1)] for i in range(1, round(MOST_BLOCKS / step))]
+    return sorted({c for c in cuts if not math.isnan(c)})
+
+
+def score_block(cuts: list[float]) -> Column:
+    """Block of a score, the highest ones first: a function of the score alone. Null is below all."""
+    score = F.col("score")
+    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: score < cut))
+    return F.when(score.isNull(), F.lit(len(cuts) + 1)).otherwise(above)
+
+
 def score_curve(scored: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
     """One row per distinct score with its counts and those of all higher scores.
 
     A continuous score has nearly as many groups as rows, so the running sums
-    are taken per range block and shifted by the sums of earlier blocks.
+    are taken per block of scores and shifted by the sums of earlier blocks.
+    As the block follows from the score, nothing needs to be written: the groups
+    are shuffled once more, by block. A score that many rows share is one group.
     """
+    cuts = score_cuts(scored)
     grouped = scored.groupBy("score").agg(*_aliased(_all_counts(label, prediction)))
-    placed = place_in_order(grouped, [F.col("score").desc()], "curve", unique=True)
-    offsets = block_offsets(placed, _pos=F.sum("pos"), _rows=F.sum("rows"))
-    earlier = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    in_block = placed.join(F.broadcast(offsets), "block")
     none = F.lit(0).cast("long")
-    return in_block.select(
+    if cuts:
+        placed = grouped.withColumn("block", score_block(cuts))
+        # at most MOST_BLOCKS + 1 rows
+        offsets = block_offsets(placed, _pos=F.sum("pos"), _rows=F.sum("rows"))
+        placed = placed.join(F.broadcast(offsets), "block")
+        block = [F.col("block")]
+    else:
+        placed, block = grouped.select("*", none.alias("_pos"), none.alias("_rows")), []
+    earlier = Window.partitionBy(*block).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select(
         *grouped.columns,
         (F.col("_pos") + F.coalesce(F.sum("pos").over(earlier), none)).alias("pos_above"),
         (F.col("_rows") + F.coalesce(F.sum("rows").over(earlier), none)).alias("rows_above"),

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import draw
-from tidemark.operators.metrics import CELLS, cell_counts, ratio
+from tidemark.operators.metrics import CELLS, ratio
 
 #: draws per task; a task keeps running counts only, so this bounds time, not memory
 DRAWS_PER_TASK = 50_000_000
 SCORES = ("F1", "P", "R")
+#: rows of a packed block, and rows whose packed cells, a byte each, are sent to all tasks
+BLOCK_ROWS, BROADCAST_ROWS = 65_536, 64_000_000
 
 
 def draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
@@ -31,19 +33,42 @@ def draws(spark: SparkSession, n: int, iterations: int, seed: int) -> DataFrame:
     return numbers.select(F.expr(f"id div {n}").alias("iter_id"), picked.alias("row_id"))
 
 
+def packed_cells(predictions: DataFrame, rows: int) -> DataFrame:
+    """(block, cells): the confusion cell of each row id of a block, one byte each, in order."""
+    y, p = F.col("y_true"), F.col("y_pred")
+    cell = F.lit(len(CELLS))  # a label other than 0 and 1 is in none
+    for number, (truth, told) in enumerate(((1, 1), (0, 1), (0, 0), (1, 0))):
+        cell = F.when((y == truth) & (p == told), number).otherwise(cell)
+    at = F.struct((F.col("row_id") % rows).alias("place"), cell.cast("tinyint").alias("cell"))
+    packed = predictions.select(F.expr(f"row_id div {rows}").alias("block"), at.alias("at"))
+    packed = packed.groupBy("block").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    return packed.select("block", F.transform("at", lambda x: x["cell"]).alias("cells"))
+
+
 def bootstrap_by_rows(predictions: DataFrame, iterations: int = 100, seed: int = 42) -> DataFrame:
-    """Confusion cells per iteration, by joining picks with rows.
+    """Confusion cells per iteration, by looking up the picked rows.
 
-    ``predictions`` holds (row_id, y_true, y_pred) with row ids 0..n-1. The
-    join key is unique on one side and uniform on the other; Spark broadcasts
-    the predictions when their size allows and shuffles both sides otherwise.
+    ``predictions`` holds (row_id, y_true, y_pred) with row ids 0..n-1. They are
+    packed into blocks of a byte per row, and a pick finds its cell by block and
+    place. Up to ``BROADCAST_ROWS`` rows the blocks go to all tasks; beyond that
+    picks are dealt to their block and the blocks, which are few, are hashed: the
+    picks are never sorted.
     """
-    n = predictions.count()
+    spark = predictions.sparkSession
+    n, last = predictions.agg(F.count("*"), F.max("row_id")).first()
     if n == 0:
         raise ValueError("nothing to resample: no predictions")
-    picks = draws(predictions.sparkSession, n, iterations, seed)
-    counts = [expr.alias(name) for name, expr in cell_counts("y_true", "y_pred").items()]
-    return picks.join(predictions.select("row_id", "y_true", "y_pred"), "row_id").groupBy("iter_id").agg(*counts)
+    if last != n - 1:
+        raise ValueError(f"row ids are not 0 to {n - 1}")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = min(BLOCK_ROWS, max(1, -(-n // (4 * tasks))))
+    packed = packed_cells(predictions, rows)
+    small = n <= BROADCAST_ROWS and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    packed = F.broadcast(packed) if small else packed.hint("shuffle_hash")
+    picks = draws(spark, n, iterations, seed)
+    picks = picks.select("iter_id", F.expr(f"row_id div {rows}").alias("block"), (F.col("row_id") % rows).cast("int").alias("place"))
+    found = picks.join(packed, "block").select("iter_id", F.get("cells", F.col("place")).alias("cell"))
+    return found.groupBy("iter_id").agg(*[F.count_if(F.col("cell") == i).alias(name) for i, name in enumerate(CELLS)])
 
 
 def bootstrap_by_cells(spark: SparkSession, cells: Mapping[str, int], iterations: int = 100, seed: int = 42) -> DataFrame:
