@@ -365,6 +365,20 @@ DEAD_LETTERS = """
            'transaction_id is null or JSON parse failed' AS error_message
     FROM tx WHERE terminal_id < 10"""
 oracle("dead_letter_envelope", DEAD_LETTERS, "tx")
+# what the messages hold, as text
+STEPS["payload"] = (
+    ("tx",),
+    """SELECT CAST(transaction_id AS VARCHAR) AS key, tx_datetime AS timestamp, terminal_id,
+              CASE WHEN terminal_id < 5 THEN 'garbage' ELSE
+                '{"transaction_id":' || CASE WHEN terminal_id < 10 THEN '"' || transaction_id || '"' ELSE CAST(transaction_id AS VARCHAR) END
+                || ',"tx_datetime":"' || strftime(tx_datetime, '%Y-%m-%d %H:%M:%S')
+                || '","customer_id":' || customer_id || ',"terminal_id":' || terminal_id
+                || ',"tx_amount":' || CASE WHEN terminal_id BETWEEN 10 AND 19 THEN '"abc"' ELSE CAST(tx_amount AS VARCHAR) END
+                || ',"tx_time_seconds":' || tx_time_seconds || ',"tx_time_days":' || tx_time_days
+                || ',"tx_fraud":' || tx_fraud || ',"tx_fraud_scenario":' || tx_fraud_scenario || '}'
+                || CASE WHEN terminal_id BETWEEN 20 AND 24 THEN ' trailing' ELSE '' END END AS value
+       FROM tx""",
+)
 
 # --- split, order ---------------------------------------------------------------------
 
@@ -559,19 +573,25 @@ oracle(
 
 # --- streams ---------------------------------------------------------------------------------
 
-oracle("stream_source_rows", "SELECT message_key AS key, kafka_timestamp AS timestamp FROM msg", "msg")
+oracle("stream_source_rows", "SELECT key, value, timestamp FROM payload", "payload")
 oracle("stream_parse", f"SELECT message_key, kafka_timestamp, {NINE} FROM msg", "msg")
 oracle("stream_valid", "SELECT message_key, transaction_id FROM msg WHERE transaction_id IS NOT NULL", "msg")
 oracle("stream_dead_letter", DEAD_LETTERS, "tx")
 oracle("stream_features", f"SELECT transaction_id, {FEATURES} FROM msgfeat WHERE transaction_id IS NOT NULL", "msgfeat")
 oracle(
     "stream_scored",
-    """SELECT CASE WHEN transaction_id IS NULL THEN 'fraud.dead_letter' ELSE 'fraud.output.predictions' END AS topic,
-              CAST(transaction_id AS VARCHAR) AS key, transaction_id,
-              CASE WHEN transaction_id IS NOT NULL THEN tx_amount / CAST(100 AS DOUBLE) END AS score,
-              CASE WHEN transaction_id IS NOT NULL THEN CASE WHEN tx_amount / CAST(100 AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END END AS prediction
-       FROM msgfeat""",
+    f"""SELECT 'fraud.output.predictions' AS topic, CAST(transaction_id AS VARCHAR) AS key, transaction_id, tx_datetime, customer_id,
+               terminal_id, {FEATURES}, tx_amount / CAST(100 AS DOUBLE) AS score,
+               CASE WHEN tx_amount / CAST(100 AS DOUBLE) >= 0.5 THEN 1 ELSE 0 END AS prediction, tx_fraud,
+               true AS has_processed_at, date_trunc('millisecond', kafka_timestamp) AS kafka_timestamp, true AS has_latency_seconds,
+               CAST(NULL AS VARCHAR) AS raw_payload, CAST(NULL AS VARCHAR) AS error_message, false AS has_failed_at
+        FROM msgfeat WHERE transaction_id IS NOT NULL
+        UNION ALL BY NAME
+        SELECT 'fraud.dead_letter' AS topic, value AS raw_payload, 'transaction_id is null or JSON parse failed' AS error_message,
+               false AS has_processed_at, false AS has_latency_seconds, true AS has_failed_at
+        FROM payload WHERE terminal_id < 10""",
     "msgfeat",
+    "payload",
 )
 oracle(
     "stream_branches",
@@ -584,3 +604,22 @@ oracle(
     "SELECT count(*) AS rows, count(*) AS equal_scores FROM msg WHERE transaction_id IS NOT NULL",
     "msg",
 )
+oracle(
+    "forest_nodes_agree",
+    """SELECT 'fitted' AS model, count(*) AS rows, count(*) AS equal_scores FROM sides WHERE split = 'test'
+       UNION ALL SELECT 'loaded', count(*), count(*) FROM sides WHERE split = 'test'
+       UNION ALL SELECT 'streamed', count(*), count(*) FROM msg WHERE transaction_id IS NOT NULL""",
+    "sides",
+    "msg",
+)
+oracle(
+    "ab_test_stored",
+    """SELECT 200 AS replicates, 200 AS in_range, 2 AS means_agree, count(*) AS rows, count(*) AS equal_scores, true AS promoted_as_decided
+       FROM sides WHERE split = 'test'""",
+    "sides",
+)
+oracle(
+    "tune_trials_check",
+    "SELECT 20 AS trials, 20 AS in_space, 20 AS in_range, count(*) > 0 AS best_is_maximum, count(*) > 0 AS best_is_a_trial FROM tx",
+    "tx",
+)

@@ -6,6 +6,7 @@ All of them read the whole ``events`` table through the transaction view.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from tidemark.functions import cleaning, messages
 from tidemark.functions.calendar import add_features, calendar_columns, fill_zero, parse_datetime
 from tidemark.functions.scoring import add_latency, apply_scorer, flag
 from tidemark.operators import compare, metrics, registry, resample, weights
-from tidemark.operators.forest import ForestParams, fit_forest, search_forest
+from tidemark.operators.forest import DEPTHS, MIN_INSTANCES, SUBSETS, TREES, ForestParams, fit_forest, search_forest
+from tidemark.operators.forest_nodes import forest_nodes, score_by_nodes
 from tidemark.operators.ranking import dense_row_ids, first_in_order
+from tidemark.operators.registry import Registry
 from tidemark.operators.split import side, validation_split
-from tidemark.plans.ab_test import cells_of, compare_cells
+from tidemark.plans.ab_test import cells_of, compare_cells, run_ab_test
 from tidemark.plans.replay import replay_messages, start_paced, time_keys, time_slots
 from tidemark.plans.requests import impute_requests, score_requests
 from tidemark.schema import (
@@ -495,6 +498,72 @@ def stored_forest_agrees(spark, sf_dir):
     return _agreement(apply_scorer(test, model), apply_scorer(test, again))
 
 
+@query
+def forest_nodes_agree(spark, sf_dir):
+    """Scores of a stored forest by walking its table of nodes, against the fitted, the loaded and the streaming model."""
+    model = _model(spark, sf_dir)
+    path = save_model(model, scratch_path(spark, "model"))
+    nodes = forest_nodes(spark, path)
+    test = materialize(inputs.test_side(spark, sf_dir).select("transaction_id", *MODEL_FEATURES), "test")
+    walked = materialize(score_by_nodes(test, nodes, MODEL_FEATURES).select("transaction_id", "score"), "walked")
+    raw = inputs.message_files(spark, sf_dir)
+    valid = [messages.valid_messages(messages.parse_messages(m)) for m in (read_message_files(spark, raw), spark.read.schema(MESSAGE_FRAME).parquet(raw))]
+    streamed = _drained(spark, stream.score_messages(valid[0], model).select("transaction_id", "score"))
+    sent = score_by_nodes(add_features(valid[1]), nodes, MODEL_FEATURES).select("transaction_id", "score")
+    sides = {"fitted": (apply_scorer(test, model), walked), "loaded": (apply_scorer(test, load_model(path)), walked), "streamed": (streamed, sent)}
+    found = [_agreement(a, b).withColumn("model", F.lit(name)) for name, (a, b) in sides.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def ab_test_stored(spark, sf_dir):
+    """Two stored forests found by alias, tested, and the winner promoted; what the result holds is checked.
+
+    Replicates of both sides, those with scores from 0 to 1, means that the comparison
+    took from them, scores of the loaded champion that are those of the fitted one,
+    and whether the champion afterwards is the one the decision names.
+    """
+    split = materialize(inputs.split_features(spark, sf_dir), "split")
+    registry, models = Registry(spark, scratch_path(spark, "registry")), []
+    for number, size in enumerate((ForestParams(numTrees=2, maxDepth=1), ForestParams(numTrees=10, maxDepth=6))):
+        models.append(fit_forest(side(split, "train"), size)[0])
+        registry.register("card", save_model(models[-1], scratch_path(spark, f"model-{number}")))
+    path = scratch_path(spark, "table") + ".parquet"
+    transactions(spark, sf_dir).write.parquet(path)
+    loaded, test = registry.load("card"), side(split, "test")
+    result = run_ab_test(spark, path, registry, "card", iterations=ITERATIONS, auto_deploy=True, seed=SEED)
+    score = [F.col(c).between(0, 1) for c in resample.SCORES]
+    kept = result.replicates.agg(
+        F.count("*").alias("replicates"),
+        F.count_if(score[0] & score[1] & score[2]).alias("in_range"),
+    )
+    means = result.replicates.unpivot(["side"], list(resample.SCORES), "metric", "value").groupBy("metric").pivot("side", ["champion", "challenger"]).avg("value")
+    alike = (F.abs(F.col("champion") - F.col("base_mean")) < 1e-9) & (F.abs(F.col("challenger") - F.col("candidate_mean")) < 1e-9)
+    compared = result.comparison.join(means, "metric").agg(F.count_if(alike).alias("means_agree"))
+    same = _agreement(apply_scorer(test, models[0]), apply_scorer(test, loaded))
+    now = registry.resolve("card", "champion")
+    right = now == (2 if result.should_deploy else 1) and result.promoted == (2 if result.should_deploy else None)
+    numbers = {c: F.lit(v) for frame in (kept, compared, same) for c, v in frame.first().asDict().items()}
+    return spark.range(1).select(*[v.alias(c) for c, v in numbers.items()], F.lit(right).alias("promoted_as_decided"))
+
+
+@query
+def tune_trials_check(spark, sf_dir):
+    """The search's default number of trials, those inside the space, different ones, and whether the best is the maximum."""
+    best, score, trials = search_forest(inputs.train_side(spark, sf_dir))
+    inside = F.col("numTrees").isin(*TREES) & F.col("maxDepth").isin(*DEPTHS) & F.col("minInstancesPerNode").isin(*MIN_INSTANCES) & F.col("featureSubsetStrategy").isin(*SUBSETS)
+    params = ("numTrees", "maxDepth", "minInstancesPerNode", "featureSubsetStrategy")
+    chosen = reduce(lambda a, b: a & b, [F.col(c) == best.as_dict()[c] for c in params], F.col("fraud_f1") == score)
+    rates = [F.col(c).between(0, 1) for c in ("fraud_f1", "fraud_precision", "fraud_recall", "auc", "pr_auc", "weighted_f1")]
+    return trials.agg(
+        F.count("*").alias("trials"),
+        F.count_if(inside).alias("in_space"),
+        F.count_if(reduce(lambda a, b: a & b, rates)).alias("in_range"),
+        (F.max("fraud_f1") == score).alias("best_is_maximum"),
+        F.bool_or(chosen).alias("best_is_a_trial"),
+    )
+
+
 @query
 def tune_trials(spark, sf_dir):
     return search_forest(inputs.train_side(spark, sf_dir))[2]
@@ -572,7 +641,7 @@ def _stream(spark, sf_dir):
 
 @query
 def stream_source_rows(spark, sf_dir):
-    return _drained(spark, _stream(spark, sf_dir)).select("key", "timestamp")
+    return _drained(spark, _stream(spark, sf_dir))
 
 
 @query
@@ -607,8 +676,12 @@ def stream_scored(spark, sf_dir):
     for running in stream.start_routed(_stream(spark, sf_dir), inputs.scorer_a(), sink, path, trigger=DRAIN):
         running.awaitTermination()
     written = spark.read.schema("key string, value string, topic string").parquet(sink.root)
-    payload = F.from_json("value", "transaction_id long, score double, prediction int")
-    return written.select("topic", "key", payload.alias("p")).select("topic", "key", "p.*")
+    kinds = {**dict(_scored_messages(spark, sf_dir).dtypes), "raw_payload": "string", "error_message": "string", "failed_at": "timestamp"}
+    payload = ", ".join(f"{c} {kinds[c]}" for c in (*PREDICTION_FIELDS, "raw_payload", "error_message", "failed_at"))
+    parsed = written.select("topic", "key", F.from_json("value", payload).alias("p")).select("topic", "key", "p.*")
+    # clocks are read when the stream runs
+    clocks = ("processed_at", "latency_seconds", "failed_at")
+    return parsed.select(*[F.col(c).isNotNull().alias(f"has_{c}") if c in clocks else F.col(c) for c in parsed.columns])
 
 
 @query

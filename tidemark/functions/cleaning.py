@@ -52,6 +52,17 @@ def present(columns) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
 
 
+def _converted(df: DataFrame, casts: dict[str, Column]) -> DataFrame:
+    """``df`` with columns replaced, each converted once.
+
+    The values come out of a generator: a filter on them is not pushed below it,
+    where it would convert them a second time.
+    """
+    kept = [c for c in df.columns if c not in casts]
+    made = F.inline(F.array(F.struct(*[value.alias(c) for c, value in casts.items()])))
+    return df.select(*kept, made).select(*df.columns)
+
+
 def clean_batch(df: DataFrame) -> DataFrame:
     """Typed training input: cast what models use, drop incomplete rows.
 
@@ -61,7 +72,7 @@ def clean_batch(df: DataFrame) -> DataFrame:
     require_columns(df, BATCH_REQUIRED, "transaction data")
     casts = {c: number_column(df, c) for c in BATCH_REQUIRED if c != "tx_datetime"}
     casts["tx_datetime"] = to_timestamp_column(df)
-    return df.withColumns(casts).filter(present(BATCH_REQUIRED))
+    return _converted(df, casts).filter(present(BATCH_REQUIRED))
 
 
 def canonical_datetime(df: DataFrame) -> Column:
@@ -73,7 +84,7 @@ def clean_replay(df: DataFrame) -> DataFrame:
     """Typed replay input: all numbers cast, text timestamp, NaN dropped."""
     casts = {c: number_column(df, c) for c in NUMERIC_TYPES}
     casts["tx_datetime"] = canonical_datetime(df)
-    return df.withColumns(casts).dropna(subset=list(REPLAY_REQUIRED))
+    return _converted(df, casts).dropna(subset=list(REPLAY_REQUIRED))
 
 
 def reject_empty(df: DataFrame, what: str) -> DataFrame:

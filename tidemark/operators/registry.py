@@ -1,12 +1,15 @@
 """Run log, model versions and aliases as append-only tables.
 
 An alias points to the version of its latest event; nothing is updated in
-place. One writer at a time is assumed, as appends take the next event number.
+place. Versions and aliases change by commits: numbered files that are created only
+if their number is free. Who finds it taken reads what the other one wrote, decides
+anew and takes the next number, so any number of writers see one order of events.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import json
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -15,10 +18,14 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import CHALLENGER, CHAMPION
 from tidemark.sources.models import load_model
+from tidemark.sources.paths import publish_new
 
 RUN_SCHEMA = "run_id string, kind string, name string, value string"
-VERSION_SCHEMA = "model string, version long, path string, run_id string, description string"
-ALIAS_SCHEMA = "model string, alias string, version long, event_seq long, description string"
+#: a commit adds versions and alias events; the events' number is the commit's
+COMMIT_SCHEMA = (
+    "number long, versions array<struct<model: string, version: long, path: string, run_id: string, description: string>>, "
+    "aliases array<struct<model: string, alias: string, version: long, description: string>>"
+)
 
 
 def run_rows(run_id: str, params: Mapping, metrics: Mapping) -> list[tuple]:
@@ -74,64 +81,104 @@ def promotions(aliases: DataFrame, winners: DataFrame, event_seq) -> DataFrame:
     )
 
 
+def _versions(commits: DataFrame) -> DataFrame:
+    return commits.select(F.inline("versions"))
+
+
+def _alias_events(commits: DataFrame) -> DataFrame:
+    events = commits.select("number", F.inline("aliases"))
+    return events.select("model", "alias", "version", F.col("number").alias("event_seq"), "description")
+
+
+def _resolved(events: DataFrame, model: str, alias: str) -> int | None:
+    named = (F.col("model") == model) & (F.col("alias") == alias)
+    found = current_aliases(events.filter(named)).first()
+    return None if found is None else found.version
+
+
+def _event(model: str, alias: str, version: int, description: str) -> dict:
+    return {"model": model, "alias": alias, "version": version, "description": description}
+
+
 class Registry:
-    """The three tables below one folder."""
+    """The run log and the commits below one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _found(self, reader, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+            return reader(f"{self.root}/{name}")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
-        table = self.spark.createDataFrame(rows, schema).coalesce(1)
-        table.write.mode("append").parquet(f"{self.root}/{name}")
-
     @property
     def runs(self) -> DataFrame:
-        return self._table("runs", RUN_SCHEMA)
+        return self._found(self.spark.read.schema(RUN_SCHEMA).parquet, "runs", RUN_SCHEMA)
+
+    @property
+    def commits(self) -> DataFrame:
+        return self._found(self.spark.read.schema(COMMIT_SCHEMA).json, "commits", COMMIT_SCHEMA)
 
     @property
     def versions(self) -> DataFrame:
-        return self._table("versions", VERSION_SCHEMA)
+        return _versions(self.commits)
 
     @property
     def aliases(self) -> DataFrame:
-        return self._table("aliases", ALIAS_SCHEMA)
+        return _alias_events(self.commits)
+
+    def _commit(self, decide: Callable[[DataFrame], dict | None]) -> dict | None:
+        """Add what ``decide`` makes of all commits so far; None if it has nothing to add.
+
+        It is asked again whenever another writer was faster.
+        """
+        while True:
+            commits = self.commits
+            decided = decide(commits)
+            if decided is None:
+                return None
+            number = (commits.agg(F.max("number")).first()[0] or 0) + 1
+            text = json.dumps({"number": number, **decided}) + "\n"
+            if publish_new(self.spark, text, f"{self.root}/commits/{number:012d}.json"):
+                return decided
 
     def log_run(self, run_id: str, params: Mapping, metrics: Mapping) -> None:
-        self._append("runs", RUN_SCHEMA, run_rows(run_id, params, metrics))
+        rows = self.spark.createDataFrame(run_rows(run_id, params, metrics), RUN_SCHEMA).coalesce(1)
+        rows.write.mode("append").parquet(f"{self.root}/runs")
 
     def resolve(self, model: str, alias: str) -> int | None:
         """Version an alias points to, or None."""
-        named = (F.col("model") == model) & (F.col("alias") == alias)
-        found = current_aliases(self.aliases.filter(named)).first()
-        return None if found is None else found.version
+        return _resolved(self.aliases, model, alias)
 
     def set_alias(self, model: str, version: int, alias: str, description: str = "") -> None:
-        last = self.aliases.agg(F.max("event_seq")).first()[0]
-        self._append("aliases", ALIAS_SCHEMA, [(model, alias, version, (last or 0) + 1, description)])
+        self._commit(lambda _: {"aliases": [_event(model, alias, version, description)]})
 
     def register(self, model: str, path: str, run_id: str = "", description: str = "") -> tuple[int, str]:
         """Add a version; returns it with the alias it was given."""
-        last = self.versions.filter(F.col("model") == model).agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
-        alias = CHAMPION if self.resolve(model, CHAMPION) is None else CHALLENGER
-        self._append("versions", VERSION_SCHEMA, [(model, version, path, run_id, description)])
-        self.set_alias(model, version, alias, description)
-        return version, alias
+
+        def decide(commits: DataFrame) -> dict:
+            last = _versions(commits).filter(F.col("model") == model).agg(F.max("version")).first()[0]
+            version = (last or 0) + 1
+            new = self.spark.createDataFrame([(model, version, 0)], "model string, version long, event_seq long")
+            alias = alias_registrations(new, _alias_events(commits)).first().alias
+            added = {"model": model, "version": version, "path": path, "run_id": run_id, "description": description}
+            return {"versions": [added], "aliases": [_event(model, alias, version, description)]}
+
+        event = self._commit(decide)["aliases"][0]
+        return event["version"], event["alias"]
 
     def promote(self, model: str, description: str = "") -> int | None:
         """Make the challenger champion; None if there is no challenger."""
-        version = self.resolve(model, CHALLENGER)
-        if version is not None:
-            self.set_alias(model, version, CHAMPION, description)
-        return version
+
+        def decide(commits: DataFrame) -> dict | None:
+            version = _resolved(_alias_events(commits), model, CHALLENGER)
+            return None if version is None else {"aliases": [_event(model, CHAMPION, version, description)]}
+
+        done = self._commit(decide)
+        return None if done is None else done["aliases"][0]["version"]
 
     def load(self, model: str, alias: str = CHAMPION) -> PipelineModel | None:
         """The model an alias points to, or None."""

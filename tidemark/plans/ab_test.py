@@ -19,12 +19,14 @@ from tidemark.session import materialize
 
 @dataclass(frozen=True)
 class AbResult:
-    """Decision, both evaluation records and the comparison frame."""
+    """Decision, both evaluation records, the comparison frame and the replicates
+    (side, iter_id, F1, P, R) that it was made from."""
 
     should_deploy: bool
     champion: DataFrame
     challenger: DataFrame
     comparison: DataFrame
+    replicates: DataFrame
     promoted: int | None = None
 
 
@@ -101,10 +103,15 @@ def run_ab_test(
         return None
     _, test, _ = load_and_split(spark, path, declared)
     scored = score_both(test, models)
-    comparison = compare_cells(spark, *[cells_of(s) for s in scored], iterations, alpha, seed)
-    comparison = materialize(comparison, "comparison")
+    sides = []
+    for name, cells in zip((CHAMPION, CHALLENGER), map(cells_of, scored), strict=True):
+        scores = replicate_scores(bootstrap_by_cells(spark, cells, iterations, seed))
+        sides.append(scores.select(F.lit(name).alias("side"), *scores.columns))
+    replicates = materialize(sides[0].unionByName(sides[1]), "replicates")
+    stats = [replicate_stats(replicates.filter(F.col("side") == name), COMPARED) for name in (CHAMPION, CHALLENGER)]
+    comparison = materialize(compare(*stats, alpha), "comparison")
     decision = decide(comparison).first()
     promoted = None
     if decision.should_deploy and auto_deploy:
         promoted = registry.promote(model_name, f"won A/B test, F1 improvement {decision.improvement:+.4f}")
-    return AbResult(decision.should_deploy, *[evaluate(s) for s in scored], comparison, promoted)
+    return AbResult(decision.should_deploy, *[evaluate(s) for s in scored], comparison, replicates, promoted)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -34,3 +37,31 @@ def rename_new(spark: SparkSession, source: str, target: str) -> bool:
         system.delete(old, True)
         return False
     return True
+
+
+def publish_new(spark: SparkSession, text: str, target: str) -> bool:
+    """Make a file with this text under a name that nothing has; False if something has it.
+
+    The file appears whole. It is written under another name first, and given its own
+    by a step that fails if the name is taken: a hard link on a local disk, a rename
+    elsewhere, which is one step where the file system's renames are.
+    """
+    new = _path(spark, target)
+    system = _system(spark, new)
+    system.mkdirs(new.getParent())
+    staged = _path(spark, f"{target.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}")
+    out = system.create(staged, False)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    qualified = system.makeQualified(new).toUri()
+    if qualified.getScheme() == "file":
+        try:
+            os.link(system.makeQualified(staged).toUri().getPath(), qualified.getPath())
+        except FileExistsError:
+            return False
+        finally:
+            system.delete(staged, False)
+        return True
+    return rename_new(spark, staged.toString(), target)
