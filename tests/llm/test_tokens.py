@@ -119,6 +119,24 @@ def test_packing_given_tables(spark):
     check_pieces(QUERIES["op6_packing"](spark, MEDIUM).collect(), rows, 8)
 
 
+def test_packed_neighbours_are_like_each_other(spark):
+    """Along all sequences, over the borders of tasks as well, neighbours are nearer than chance."""
+    rows = [tuple(r) for r in documents(spark, MEDIUM).select("doc_id", "text").collect()]
+    pieces = packing.pack_documents(documents(spark, MEDIUM), packing.word_bpe()).collect()
+    order = [r.doc_id for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    assert len(order) == len(rows) and len({r.sequence_id for r in pieces}) > 8
+    vectors = dict(zip([i for i, _ in rows], packing.vectors(pa.array([t for _, t in rows])), strict=True))
+    along = np.array([vectors[i] for i in order])
+    near = np.sqrt(((along[1:] - along[:-1]) ** 2).sum(axis=1))
+    mixed = np.random.default_rng(1).permutation(len(along))
+    chance = np.sqrt(((along[mixed][1:] - along[mixed][:-1]) ** 2).sum(axis=1))
+    assert np.median(near) < 0.4 * np.median(chance)
+    # the places themselves ascend through all tasks
+    places = dict(zip([i for i, _ in rows], packing.order_of(pa.array([t for _, t in rows]), pa.array([0] * len(rows))), strict=True))
+    ascent = np.array([places[i] for i in order])
+    assert (np.diff(ascent) >= 0).all()
+
+
 @pytest.mark.parametrize(("axes", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_curve_visits_neighbours(axes, bits):
     points = np.stack(np.meshgrid(*[np.arange(1 << bits)] * axes, indexing="ij"), axis=-1).reshape(-1, axes)

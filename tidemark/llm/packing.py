@@ -4,14 +4,16 @@ Each text becomes a hashed vector: counts of its words in ``BUCKETS`` buckets, b
 logarithm and at unit length. A fixed random projection takes it to ``AXES``
 numbers, which are cut into ``BITS`` bits each and turned into the text's place on
 a Hilbert curve. Documents are range-sorted by that place, so texts with like
-words lie next to each other: the ranges come from a sample of the places, a task
-gets some ranges and sorts them. It lays its documents end to end into sequences;
+words lie next to each other: a sample of the places cuts the curve into ranges of
+about ``RANGE_BYTES`` of text, each task gets one range and sorts it, and the ranges
+are numbered along the curve. A task lays its documents end to end into sequences;
 where a sequence is full, the document is cut and goes on in the next. Only the
-last sequence of a task has padding. The counts of
-sequences per partition, one small row each, turn local into global numbers.
+last sequence of a task has padding. The counts of sequences per range, one small
+row each, turn local into global numbers.
 
 Defined results: null text is empty and packs its end id alone; rows that repeat
-are packed each; null ids are allowed; an empty table gives no rows.
+are packed each; null ids are allowed; an empty table gives no rows. Further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import documents
+from tidemark.llm.tables import documents, partitions_for
 from tidemark.llm.token_files import part_starts
-from tidemark.llm.token_ids import encoder
+from tidemark.llm.token_ids import KEEP, encoder
 from tidemark.llm.words import slices, words_of
 from tidemark.session import materialize
 
@@ -38,8 +40,8 @@ END_ID = 1
 BUCKETS, AXES, BITS = 256, 4, 8
 #: bits of a hash that order documents at one place, so that copies can lie in several ranges
 TIE_BITS = 31
-#: ranges per shuffle partition, and of how many documents one is sampled for them
-RANGES, SAMPLE = 8, 32
+#: bytes of text in a range, and of how many documents one is sampled to find the ranges
+RANGE_BYTES, SAMPLE = 32 << 20, 32
 SEED = 20240
 #: projections of unit vectors beyond this are cut to the border
 REACH = 0.25
@@ -123,16 +125,20 @@ def place_rows(bounds: np.ndarray):
 
 
 def curve_ranges(docs: DataFrame) -> np.ndarray:
-    """Bounds of ranges of the curve with about as many documents each, from one row in SAMPLE."""
-    count = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Bounds of ranges of the curve with about as many documents each, from one row in SAMPLE.
+
+    There are as many as the bytes ask for, and not fewer than the session's shuffle width.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = partitions_for(docs.sparkSession, size, RANGE_BYTES)
     places = docs.where(F.pmod(F.shiftright("tie", TIE_BITS), F.lit(SAMPLE)) == 0).mapInArrow(sample_rows, "place long")
     shares = F.array(*[F.lit(i / count) for i in range(1, count)]) if count > 1 else F.array(F.lit(1.0))
     # a row of as many numbers as there are ranges
-    found = places.agg(F.percentile_approx("place", shares)).first()[0]
+    found = places.agg(F.percentile_approx("place", shares, max(10_000, 10 * count))).first()[0]
     return np.unique(np.array(found or [], dtype=np.int64))
 
 
-def pack_rows(tokenizer: str, length: int, end_id: int):
+def pack_rows(tokenizer: str, length: int, end_id: int, keep: int):
     """Pieces of one range partition, in the order of its documents."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +146,7 @@ def pack_rows(tokenizer: str, length: int, end_id: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches, size=1 << 22):
             out: list[tuple] = []
-            texts = encoder(tokenizer, "I", False).ids(batch.column("text").to_pylist())
+            texts = encoder(tokenizer, "I", False, keep).ids(batch.column("text").to_pylist())
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 own += end
                 n, start = len(own) // 4, 0
@@ -157,16 +163,22 @@ def pack_rows(tokenizer: str, length: int, end_id: int):
     return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with the sequence and the offset in it that they fill."""
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int = END_ID, keep: int = KEEP) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with the sequence and the offset in it that they fill.
+
+    ``keep`` bounds the words whose ids a Python worker keeps; a job whose workers
+    hold other tables as well may keep fewer.
+    """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tie"))
+    bounds = curve_ranges(docs)
     placed = (
-        docs.mapInArrow(place_rows(curve_ranges(docs)), "doc_id long, text string, place long, range int")
-        .repartition("range")
-        .sortWithinPartitions("range", "place")
+        docs.mapInArrow(place_rows(bounds), "doc_id long, text string, place long, range int")
+        # range n to task n, so neighbours on the curve stay neighbours
+        .repartitionById(len(bounds) + 1, "range")
+        .sortWithinPartitions("place")
         .select("doc_id", "text")
     )
-    pieces = materialize(placed.mapInArrow(pack_rows(tokenizer, length, end_id), PIECES), "pieces")
+    pieces = materialize(placed.mapInArrow(pack_rows(tokenizer, length, end_id, keep), PIECES), "pieces")
     counts = pieces.groupBy("part").agg((F.max("local_sequence") + 1).alias("n"))
     return pieces.join(part_starts(counts), "part").select(
         "doc_id",

@@ -16,7 +16,8 @@ import sys
 from array import array
 from functools import cache
 
-#: parts in each of the two generations of a Python worker's lookup
+#: parts in each of the two generations of a Python worker's lookup, some 140 bytes each;
+#: fewer cost time, as each part that is not known is encoded again
 KEEP = 1_000_000
 #: marks after a word, and how many of them at most are looked up apart; an apostrophe is none, it may bind letters
 MARKS, LONGEST_TAIL = ".,;:!?*$&%#", 4
@@ -27,14 +28,15 @@ LONGEST = 64
 class Kept:
     """A lookup in two generations: what is not asked for while one fills up, goes."""
 
-    def __init__(self):
+    def __init__(self, keep: int):
+        self.keep = keep
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def missing(self, keys: set[str]) -> list[str]:
         """Those of ``keys`` that are not known; all others are in ``new`` afterwards."""
         missing = keys.difference(self.new)
-        if len(self.new) + len(missing) > KEEP:
+        if len(self.new) + len(missing) > self.keep:
             self.old, self.new, missing = self.new, {}, keys
         again = missing.intersection(self.old)
         self.new.update((x, self.old[x]) for x in again)
@@ -53,7 +55,7 @@ class Kept:
 class Encoder:
     """Bytes of little-endian ids of texts, in unsigned numbers of array type ``kind``."""
 
-    def __init__(self, path: str, kind: str, spaces: bool):
+    def __init__(self, path: str, kind: str, spaces: bool, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,7 +65,7 @@ class Encoder:
         self.special = re.compile("|".join(special)).search if special else lambda text: None
         #: whether the space before a word belongs to it
         self.space = " " if spaces else ""
-        self.parts = Kept()
+        self.parts = Kept(keep)
         self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -107,6 +109,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, kind: str, spaces: bool) -> Encoder:
+def encoder(path: str, kind: str, spaces: bool, keep: int = KEEP) -> Encoder:
     """One per Python worker."""
-    return Encoder(path, kind, spaces)
+    return Encoder(path, kind, spaces, keep)
