@@ -18,6 +18,9 @@ from tidemark.session import materialize
 
 #: near duplicates: words of a shingle, and similarity in percent
 SHINGLE, SIMILARITY = 5, 80
+#: words whose ids a Python worker keeps, in each of two generations; workers that ran one stage run
+#: the others as well, so this table stays small
+KEPT_WORDS = 150_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,7 @@ def redact_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences along the curve."""
-    return packing.pack_documents(docs, packing.word_bpe())
+    return packing.pack_documents(docs, packing.word_bpe(), keep=KEPT_WORDS)
 
 
 STAGES = [
