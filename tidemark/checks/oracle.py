@@ -7,7 +7,11 @@ integration. Shared steps are common table expressions.
 
 from __future__ import annotations
 
-from tidemark.functions.keys import MASK32, MULTIPLIER, draw_seeds
+# Multiplier of the public 32-bit integer finaliser, the 32-bit mask, and the
+# two start values of the draws for seed 42.
+MULTIPLIER = 73244475
+MASK32 = 4294967295
+START_A, START_B = 3530462282, 2284289255
 
 ORACLES: dict[str, str] = {}
 
@@ -176,9 +180,8 @@ def _areas(name: str) -> str:
                     WINDOW w AS (ORDER BY score DESC)))"""
 
 
-def _draws(rows: str, iterations: int = 100, seed: int = 42) -> str:
+def _draws(rows: str, iterations: int = 100) -> str:
     """(iter_id, row_id) by the keyed integer mix, one subquery per step."""
-    start_a, start_b = draw_seeds(seed)
 
     def mixed(sql: str) -> str:
         for _ in range(2):
@@ -188,7 +191,7 @@ def _draws(rows: str, iterations: int = 100, seed: int = 42) -> str:
 
     base = f"SELECT unnest(range({iterations} * (SELECT count(*) FROM {rows}))) AS i"
     words = f"SELECT i, i & {MASK32} AS lo, (i >> 32) & {MASK32} AS hi FROM ({base})"
-    first = mixed(f"SELECT *, xor(hi, {start_a}) AS a, xor(lo, {start_b}) AS b FROM ({words})")
+    first = mixed(f"SELECT *, xor(hi, {START_A}) AS a, xor(lo, {START_B}) AS b FROM ({words})")
     second = mixed(f"SELECT i, lo, hi, xor(a, lo) AS a, xor(b, hi) AS b FROM ({first})")
     size = f"(SELECT count(*) FROM {rows})"
     return f"SELECT i // {size} AS iter_id, (((a >> 2) << 30) + (b >> 2)) % {size} AS row_id FROM ({second})"

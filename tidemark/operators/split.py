@@ -21,8 +21,9 @@ from tidemark.schema import LABEL
 DIGITS = 3
 #: once the groups around the cuts are this small they are listed by value
 LIST_LIMIT = 50_000
-#: per-class tables up to this many rows are broadcast, larger ones joined
-BROADCAST_CLASSES = 1_000
+#: what is known of so many classes goes into the plan as literals; beyond that it is a
+#: table, which up to BROADCAST_CLASSES rows is broadcast, and joined if larger
+LITERAL_CLASSES, BROADCAST_CLASSES = 50, 1_000
 KEY_LENGTH, HASH_LENGTH = 32, 16
 TRAIN, TEST = "train", "test"
 #: sorts before every key: the cut of a class that sends nothing to train
@@ -72,9 +73,24 @@ def split_number(df: DataFrame, seed: int, key: str) -> Column:
     return row_key(seed, F.col(key) if key in df.columns else row_hash(df.columns))
 
 
-def _class_table(spark, rows: list[tuple], schema: str) -> DataFrame:
-    table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_CLASSES else table
+def _of_class(df: DataFrame, label: Column, rows: list[tuple], **kinds: str) -> DataFrame:
+    """``df`` with what ``rows`` (label, values) say of each row's class; rows of other classes go.
+
+    ``kinds`` names the values and their types.
+    """
+    if len(rows) <= LITERAL_CLASSES:
+        known = df.filter(label.isin([r[0] for r in rows]))
+        added = {}
+        for place, (name, kind) in enumerate(kinds.items(), 1):
+            value = F.lit(None)
+            for row in rows:
+                value = F.when(label == row[0], F.lit(row[place])).otherwise(value)
+            added[name] = value.cast(kind)
+        return known.withColumns(added)
+    schema = ", ".join(f"{name} {kind}" for name, kind in {"_label": "int", **kinds}.items())
+    table = df.sparkSession.createDataFrame(rows, schema)
+    table = F.broadcast(table) if len(rows) <= BROADCAST_CLASSES else table
+    return df.join(table, label == F.col("_label")).drop("_label")
 
 
 def _at_rank(counts: DataFrame, value: str) -> DataFrame:
@@ -85,8 +101,8 @@ def _at_rank(counts: DataFrame, value: str) -> DataFrame:
 
 
 def _narrow(values: DataFrame, state: list[tuple], known: int) -> DataFrame:
-    prefixes = _class_table(values.sparkSession, [s[:3] for s in state], "label int, prefix string, k long")
-    return values.join(prefixes, "label").filter(F.substring("v", 1, known) == F.col("prefix"))
+    told = _of_class(values, F.col("label"), [s[:3] for s in state], prefix="string", k="long")
+    return told.filter(F.substring("v", 1, known) == F.col("prefix"))
 
 
 def _kth_smallest(values: DataFrame, state: list[tuple], known: int, length: int) -> dict[int, tuple[str, int, int]]:
@@ -153,16 +169,13 @@ def plan_split(
 
 def _cut_shared_keys(df, label, seed, key, shared: dict[int, ClassCut]) -> dict[int, ClassCut]:
     """Order rows that share the cut key by a hash of the whole row."""
-    at_cut = _class_table(df.sparkSession, [(c, cut.key) for c, cut in shared.items()], "label int, cut string")
-    values = (
-        df.select(
-            F.col(label).cast("int").alias("label"),
-            split_number(df, seed, key).alias("key"),
-            row_hash(df.columns).alias("v"),
-        )
-        .join(at_cut, "label")
-        .filter("key = cut")
+    numbered = df.select(
+        F.col(label).cast("int").alias("label"),
+        split_number(df, seed, key).alias("key"),
+        row_hash(df.columns).alias("v"),
     )
+    at_cut = [(c, cut.key) for c, cut in shared.items()]
+    values = _of_class(numbered, F.col("label"), at_cut, cut="string").filter("key = cut")
     state = [(c, "", cut.ties_in_train, cut.ties) for c, cut in shared.items()]
     found = _kth_smallest(values, state, 0, HASH_LENGTH)
     return {
@@ -172,13 +185,10 @@ def _cut_shared_keys(df, label, seed, key, shared: dict[int, ClassCut]) -> dict[
 
 
 def apply_split(df: DataFrame, plan: SplitPlan) -> DataFrame:
-    """Add ``split``: train or test. A projection over a per-class lookup."""
-    cuts = _class_table(
-        df.sparkSession,
-        [(c.label, c.key, c.tie, c.divides_copies) for c in plan.cuts],
-        "_label int, _cut string, _tie string, _divide boolean",
-    )
-    looked_up = df.join(cuts, F.col(plan.label).cast("int") == F.col("_label"))
+    """Add ``split``: train or test. A projection; the cuts of up to LITERAL_CLASSES classes are in the plan."""
+    cuts = [(c.label, c.key, c.tie, c.divides_copies) for c in plan.cuts]
+    label = F.col(plan.label).cast("int")
+    looked_up = _of_class(df, label, cuts, _cut="string", _tie="string", _divide="boolean")
     number = split_number(df, plan.seed, plan.key)
     if all(c.tie is None for c in plan.cuts):
         in_train = number <= F.col("_cut")
@@ -201,16 +211,12 @@ def _divide_copies(copies: DataFrame, plan: SplitPlan) -> DataFrame:
     running count over partitions says how many of each partition go to train,
     and the counted rows are written out again from there.
     """
-    want = _class_table(
-        copies.sparkSession,
-        [(c.label, c.ties_in_train) for c in plan.cuts if c.divides_copies],
-        "_label int, _want long",
-    )
+    want = [(c.label, c.ties_in_train) for c in plan.cuts if c.divides_copies]
     origin = copies.withColumn("_origin", F.spark_partition_id())
     counted = origin.groupBy(*copies.columns, "_origin").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(plan.label).orderBy("_origin").rowsBetween(Window.unboundedPreceding, -1)
     dealt = (
-        counted.join(want, F.col(plan.label).cast("int") == F.col("_label"))
+        _of_class(counted, F.col(plan.label).cast("int"), want, _want="long")
         .withColumn("_left", F.col("_want") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     )
