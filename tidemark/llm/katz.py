@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import held_out
-from tidemark.llm.tables import documents
+from tidemark.llm.tables import documents, partitions_for
 from tidemark.llm.words import mix, signed, slices, words_of
 from tidemark.session import materialize
 
@@ -54,6 +54,8 @@ U64 = np.uint64
 CUT = 5
 #: bytes of text in a block, and for each bucket of pairs
 BLOCK_BYTES = 8 << 20
+#: and for each task, of the blocks or buckets it works on one after the other
+TASK_BYTES = 32 << 20
 #: tokens that stand for the beginning and the end; words have other hashes but for a chance of 2 in 2**64
 BEGIN, END = 0, 1
 #: a context is frequent with this share of a bucket's tokens, in a sample of so many bytes for each bucket
@@ -404,14 +406,15 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     buckets = max(1, -(-total_bytes // BLOCK_BYTES))
     frequent = frequent_contexts(docs, total_bytes, buckets)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    tasks = partitions_for(docs.sparkSession, total_bytes, TASK_BYTES)
+    dealt = dealt.repartition(tasks, "block")
     sent = dealt.groupBy("block").applyInArrow(messages(buckets, frequent), MESSAGES)
-    counted = write(sent.groupBy("bucket").applyInArrow(count_bucket(frequent), COUNTED), "pair-counts")
+    counted = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count_bucket(frequent), COUNTED)
+    counted = write(counted, "pair-counts")
     model, contexts = fit(counted, frequent)
     answers = counted.where("block is not null").select("block", "bucket", "pairs", "totals", "leasts")
-    scored = write(
-        dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(buckets, model), SCORED),
-        "pair-scores",
-    )
+    asked = answers.repartition(tasks, "block").groupBy("block")
+    scored = write(dealt.groupBy("block").cogroup(asked).applyInArrow(score_block(buckets, model), SCORED), "pair-scores")
     mass = scored.where("context is not null").groupBy("context").agg(F.sum("mass").alias("mass"))
     weights = write(contexts.join(mass, "context").select("context", F.log10(F.col("left") / (1 - F.col("mass"))).alias("weight")), "weights")
     rows = scored.where("context is null").drop("context", "mass")
