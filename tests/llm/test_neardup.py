@@ -50,6 +50,61 @@ def test_awkward(docs, rows, monkeypatch, longest, block):
     assert sorted(map(tuple, got), key=str) == brute(rows, 4)
 
 
+def families(r):
+    """A large family of near copies, a smaller one, and texts that only share a long passage with all of them."""
+    passage = [f"p{i}" for i in range(60)]
+    rows, at = [], 0
+    for size, words in ((300, 70), (40, 70), (60, None)):
+        base = [f"f{at}w{i}" for i in range(words or 0)]
+        for _ in range(size):
+            own = list(base) if words else [f"o{r.randrange(10**9)}" for _ in range(r.randrange(40, 90))]
+            for _ in range(r.randrange(4) if words else 0):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**9)}"
+            rows.append((at, " ".join(passage + own)))
+            at += 1
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [12, 100, 1000])
+def test_families_in_many_blocks(spark, monkeypatch, block):
+    rows = families(random.Random(9))
+    monkeypatch.setattr(neardup, "LIST", 20)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "HUB", 5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(map(tuple, neardup.near_duplicates(frame, 4, 80).collect()), key=str) == brute(rows, 4)
+
+
+def shuffled_rows(spark, monkeypatch, size):
+    """How many rows meet, for a family of ``size`` near copies."""
+    r, seen = random.Random(2), []
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(size):
+        own = list(base)
+        own[r.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    meet = neardup.met_links
+
+    def counted(meetings, sets, similarity):
+        seen.append(meetings.count())
+        return meet(meetings, sets, similarity)
+
+    monkeypatch.setattr(neardup, "met_links", counted)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(neardup, "HUB", 5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert neardup.near_duplicates(frame, 4, 80).select("component_id").distinct().count() == 1
+    monkeypatch.setattr(neardup, "met_links", meet)
+    return sum(seen)
+
+
+def test_what_meets_grows_with_a_family_not_with_its_square(spark, monkeypatch):
+    small, large = (shuffled_rows(spark, monkeypatch, n) for n in (2000, 4000))
+    assert small > 2000 and large < 2.3 * small
+
+
 def test_given_tables(spark):
     got = QUERIES["op7_minhash"](spark, SMALL).collect()
     rows = [tuple(r) for r in documents(spark, SMALL).select("doc_id", "text").collect()]

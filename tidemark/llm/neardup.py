@@ -12,7 +12,10 @@ A document's shingles are hashed once; the k least hashes are its sketch.
   whose sketch has enough hot hashes to be linked through nothing but hot lists
   are looked at further. They are compared inside numpy in blocks of bounded
   size, on their full sets, and each block returns its links in star form, so
-  no list of pairs is made, however large the family.
+  no list of pairs is made, however large the family. Each block first meets the
+  list's hub, by which a family becomes one component; then only documents outside
+  the list's largest component meet the other blocks. What is shuffled thus grows
+  with a family, not with its square.
 * Pairs from short lists are confirmed on the full sets. Links become components
   by star contraction.
 
@@ -34,7 +37,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
@@ -49,8 +52,8 @@ SKETCH = 24
 LOSS = 1.1e-7
 #: documents in an inverted list whose pairs are made one by one
 LIST = 60
-#: rows and shingles of a block
-BLOCK_ROWS, BLOCK_SHINGLES = 1000, 400_000
+#: rows and shingles of a block, and documents of a list's hub
+BLOCK_ROWS, BLOCK_SHINGLES, HUB = 1000, 400_000, 100
 
 SKETCHED = "doc_id long, n_shingles long, key1 long, key2 long, sketch array<long>"
 #: a class of equal sets is told by its least id and a hash of the set, as an id may have several texts
@@ -164,34 +167,98 @@ def block_links(similarity: int):
     return links
 
 
-def hot_links(hot: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links among documents that may meet in hot lists only. ``hot``: (value, rank, id, key, n, hot)."""
-    from pyspark.sql import Window
-
+def hot_rows(hot: DataFrame, similarity: int) -> DataFrame:
+    """(value, id, key, n) of documents that may be linked through hot lists only, and of each list in how many blocks it is cut."""
     first = F.row_number().over(Window.partitionBy(*CLASS).orderBy("rank"))
-    keyed = hot.where(F.col("hot") >= needed(F.col("n"), similarity)).where("length > 0").withColumn("_k", first)
+    keyed = hot.where(F.col("hot") >= needed(F.col("n"), similarity)).withColumn("_k", first)
     keyed = keyed.where(F.col("_k") <= hot_keys(similarity)).select("value", *CLASS, "n")
-    blocks = keyed.groupBy("value").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    per = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = keyed.join(blocks.select("value", per.alias("blocks")), "value").withColumn(
-        "b", F.pmod(F.xxhash64(*CLASS), F.col("blocks")).cast("int")
-    )
-    # a block meets every other one once; a single block meets itself
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("b"))
-    )
-    met = placed.select("value", *CLASS, "b", F.explode(others).alias("o")).select(
-        "value", *CLASS, F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high")
+    size = keyed.groupBy("value").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
+    return keyed.join(size.select("value", "rows", blocks_of("rows", "shingles").alias("blocks")), "value")
+
+
+def blocks_of(rows: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def dealt(blocks: str, salt: int) -> Column:
+    """A block for each class."""
+    return F.pmod(F.xxhash64(F.lit(salt), *CLASS), F.col(blocks)).cast("int")
+
+
+def first_meetings(rows: DataFrame) -> DataFrame:
+    """(value, one, two, id, key): each block of a list meets itself and the list's hub.
+
+    The hub is some HUB documents of the list. A family of near copies becomes one
+    component by it, whatever block its members are in.
+    """
+    own = rows.select("value", dealt("blocks", 1).alias("one"), F.lit(-1).alias("two"), *CLASS)
+    hub = rows.where("blocks > 1").where(F.pmod(F.xxhash64(F.lit(2), *CLASS), F.ceil(F.col("rows") / HUB)) == 0)
+    hub = hub.withColumn("one", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a hub document is in its own block already
+    hub = hub.where(F.col("one") != dealt("blocks", 1))
+    return own.unionByName(hub.select("value", "one", F.lit(-1).alias("two"), *CLASS))
+
+
+def further_meetings(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Meetings of documents that are not yet in the largest component of their list with all of the list.
+
+    Within a component nothing is left to be found. Documents outside the largest
+    one meet each other, block by block, and the blocks of the largest one.
+    """
+    wide = rows.where("blocks > 1").join(components.withColumnRenamed("node", "id"), "id", "left")
+    wide = wide.withColumn("component", F.coalesce("component", "id"))
+    sizes = wide.groupBy("value", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    top = sizes.groupBy("value").agg(
+        F.max_by("component", F.struct("size", "component")).alias("top"),
+        F.max("size").alias("inside"),
+        F.max_by("shingles", F.struct("size", "component")).alias("inside_shingles"),
+        F.sum("size").alias("rows"),
+        F.sum("shingles").alias("shingles"),
+    ).where("inside < rows")
+    top = top.select(
+        "value",
+        "top",
+        blocks_of("inside", "inside_shingles").alias("inner"),
+        F.greatest(F.ceil((F.col("rows") - F.col("inside")) / BLOCK_ROWS), F.ceil((F.col("shingles") - F.col("inside_shingles")) / BLOCK_SHINGLES)).cast("int").alias("outer"),
     )
+    wide = wide.drop("rows", "blocks").join(top, "value")
+    inside = F.col("component") == F.col("top")
+    others = F.sequence(F.lit(0), F.col("outer") - 1)
+    # blocks inside have numbers below -1
+    members = wide.where(inside).select("value", F.explode(others).alias("one"), (-2 - dealt("inner", 3)).alias("two"), *CLASS)
+    mine = wide.where(~inside).withColumn("b", dealt("outer", 4))
+    to_inside = mine.select("value", F.col("b").alias("one"), F.explode(F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda x: -2 - x)).alias("two"), *CLASS)
+    met = mine.select("value", "b", F.explode(others).alias("o"), *CLASS)
+    among = met.select("value", F.least("b", "o").alias("one"), F.greatest("b", "o").alias("two"), *CLASS)
+    return members.unionByName(to_inside).unionByName(among)
+
+
+def met_links(meetings: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links within each meeting, in star form."""
     return (
-        met.join(sets, CLASS)
-        .select("value", "low", "high", "id", "shingles")
-        .groupBy("value", "low", "high")
+        meetings.join(sets, CLASS)
+        .select("value", "one", "two", "id", "shingles")
+        .groupBy("value", "one", "two")
         .applyInArrow(block_links(similarity), LINKS)
         .distinct()
     )
 
 
+def hot_links(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: int) -> DataFrame:
+    """Links among documents that may meet in hot lists only, and those ``known`` from short ones.
+
+    ``hot``: (value, rank, id, key, n, hot). Families are settled first, in a number
+    of rows that grows with theirs; then only documents that they do not explain are
+    compared with whole lists.
+    """
+    rows = materialize(hot_rows(hot, similarity), "hot-rows")
+    links = materialize(known.unionByName(met_links(first_meetings(rows), sets, similarity)), "first-links")
+    if rows.where("blocks > 1").isEmpty():
+        return links
+    rest = further_meetings(rows, connected_components(links))
+    return links.unionByName(met_links(rest, sets, similarity))
+
+
 def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) -> DataFrame:
     """Links (u, v) between class representatives; ``sketched``: (id, key, n_shingles, sketch) of those."""
     posted = sketched.select(
@@ -237,7 +304,7 @@ def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity
         .where(f"100 * both >= {similarity} * (n_a + n_b - both)")
         .select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
     )
-    return links.unionByName(hot_links(met.where(F.col("length") > LIST), sets, similarity))
+    return hot_links(met.where(F.col("length") > LIST), sets, links, similarity)
 
 
 def near_duplicates(docs: DataFrame, width: int, similarity: int) -> DataFrame:
