@@ -62,6 +62,10 @@ def test_files_awkward(spark, docs, rows, no_docs):
     token_files.write_tokens(docs, path, token_files.Layout(token_files.byte_bpe()))
     check_files(spark, token_files.read_digests(spark, path).collect(), rows)
     two = token_files.read_document(spark, path, 110)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    for row in blocks.select("least", "greatest", "doc_ids").collect():
+        known = [i for i in row.doc_ids if i is not None]
+        assert (row.least, row.greatest) == ((min(known), max(known)) if known else (None, None))
     assert sorted(two) == sorted(ids for i, _, ids in expected_ids(token_files.byte_bpe(), [x for x in rows if x[0] == 110], 2))
     assert token_files.read_document(spark, path, -5) == []
     empty = scratch_path(spark, "tokens")

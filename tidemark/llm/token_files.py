@@ -2,8 +2,8 @@
 
 Documents are sorted by id over range partitions; the task of a partition encodes
 its texts in order and packs them into blocks. A block is one row of a Parquet
-file: ids of documents, an offset index, and the frames laid end to end, each
-compressed alone with the shared dictionary, so a short document is read by
+file: ids of documents with the least and the greatest of them, an offset index, and
+the frames laid end to end, each compressed alone with the shared dictionary, so a short document is read by
 slicing one frame out. Every block names the dictionary by its hash, and readers
 refuse another one. The dictionary is trained on the serialized ids of at most
 ``SAMPLE_DOCS`` documents (the least by a hash), ``SAMPLE_CHARS`` characters each;
@@ -11,7 +11,8 @@ it is at most ``DICTIONARY_BYTES`` and therefore sent to every task. Below ten
 documents there is none, and the hash is that of the empty dictionary.
 
 Defined results: null text is empty; null ids come first; rows with the same id
-follow each other by a hash of their text; an empty table gives empty files.
+follow each other by a hash of their text; an empty table gives empty files. Further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from tidemark.session import scratch_path
 END_ID = 2
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 4000
+#: rows drawn for each that the sample takes
+DRAWN = 4
 LEVEL = 3
 #: ids are serialized in two bytes: the vocabulary has fewer than 65536
 SERIAL = "<u2"
@@ -44,8 +47,8 @@ SERIAL = "<u2"
 BLOCK_BYTES = 1 << 20
 
 BLOCKS = (
-    "part int, block int, start long, doc_ids array<long>, n_tokens array<int>, offsets array<int>, "
-    "dictionary string, frames binary"
+    "part int, block int, start long, least long, greatest long, doc_ids array<long>, n_tokens array<int>, "
+    "offsets array<int>, dictionary string, frames binary"
 )
 READ = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 
@@ -76,8 +79,12 @@ def serialized(texts: list[str | None], layout: Layout) -> list[bytes]:
 
 def train_dictionary(docs: DataFrame, layout: Layout) -> bytes:
     """A dictionary from a bounded sample of serialized documents."""
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("_o"))
+    # hashes below this are enough for the sample several times over, so tasks send few rows each, however many tasks there are
+    share = min(1.0, DRAWN * SAMPLE_DOCS / max(1, docs.count()))
+    drawn = hashed.where(F.col("_o") <= int((share - 0.5) * 2.0**64)) if share < 1 else hashed
     text = F.substring("text", 1, SAMPLE_CHARS).alias("text")
-    sample = docs.select(text, F.xxhash64("doc_id", "text").alias("_o")).orderBy("_o", "text").limit(SAMPLE_DOCS)
+    sample = drawn.select(text, "_o").orderBy("_o", "text").limit(SAMPLE_DOCS)
     samples = serialized([row.text for row in sample.collect()], layout)
     if len(samples) < 10:
         return b""
@@ -97,14 +104,15 @@ def block_rows(layout: Layout, dictionary: bytes):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=_zstd_dictionary(dictionary)).compress
         name, part = dictionary_hash(dictionary), TaskContext.get().partitionId()
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.binary()]
-        names = ["part", "block", "start", "doc_ids", "n_tokens", "offsets", "dictionary", "frames"]
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.binary()]
+        names = ["part", "block", "start", "least", "greatest", "doc_ids", "n_tokens", "offsets", "dictionary", "frames"]
         block = start = 0
         ids, counts, frames = [], [], []
 
         def full() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
-            row = [part, block, start, ids, counts, offsets, name, b"".join(frames)]
+            known = [i for i in ids if i is not None]
+            row = [part, block, start, min(known, default=None), max(known, default=None), ids, counts, offsets, name, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         held = 0
@@ -199,7 +207,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     """Ids of the rows stored under one id: the index finds block and frame, no other frame is opened."""
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.array_contains("doc_ids", doc_id))
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    # the bounds are pushed to the files, whose row groups that cannot hold the id are not read
+    near = blocks.where((F.col("least") <= doc_id) & (F.col("greatest") >= doc_id))
+    blocks = near.where(F.array_contains("doc_ids", doc_id))
     dictionary = read_dictionary(spark, path)
     out = []
     for row in blocks.orderBy("part", "block").toLocalIterator():
