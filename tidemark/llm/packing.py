@@ -40,8 +40,8 @@ END_ID = 1
 BUCKETS, AXES, BITS = 256, 4, 8
 #: bits of a hash that order documents at one place, so that copies can lie in several ranges
 TIE_BITS = 31
-#: bytes of text in a range, and of how many documents one is sampled to find the ranges
-RANGE_BYTES, SAMPLE = 32 << 20, 32
+#: bytes of text in a range, and of how many bytes one is sampled to find the ranges
+RANGE_BYTES, SAMPLE_BYTES = 32 << 20, 80_000
 SEED = 20240
 #: projections of unit vectors beyond this are cut to the border
 REACH = 0.25
@@ -125,13 +125,16 @@ def place_rows(bounds: np.ndarray):
 
 
 def curve_ranges(docs: DataFrame) -> np.ndarray:
-    """Bounds of ranges of the curve with about as many documents each, from one row in SAMPLE.
+    """Bounds of ranges of the curve with about as many bytes each, from a sample of documents.
 
-    There are as many as the bytes ask for, and not fewer than the session's shuffle width.
+    A document is in the sample with a chance in proportion to its size, by its hash.
+    There are as many ranges as the bytes ask for, and not fewer than the session's
+    shuffle width.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = partitions_for(docs.sparkSession, size, RANGE_BYTES)
-    places = docs.where(F.pmod(F.shiftright("tie", TIE_BITS), F.lit(SAMPLE)) == 0).mapInArrow(sample_rows, "place long")
+    drawn = F.pmod(F.shiftright("tie", TIE_BITS), F.lit(SAMPLE_BYTES)) < F.octet_length("text")
+    places = docs.where(drawn).mapInArrow(sample_rows, "place long")
     shares = F.array(*[F.lit(i / count) for i in range(1, count)]) if count > 1 else F.array(F.lit(1.0))
     # a row of as many numbers as there are ranges
     found = places.agg(F.percentile_approx("place", shares, max(10_000, 10 * count))).first()[0]
