@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.llm.tables import write_clean
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -29,10 +29,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     longest path. Hubs are combined before they are shuffled.
     """
     greater, lesser = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    links = materialize(links.select(greater, lesser).where("u != v").distinct(), "links")
+    links = write_clean(links.select(greater, lesser).where("u != v").distinct(), "links")
     state = None
     while True:
-        links = materialize(_star(_star(links, both=True), both=False), "links")
+        links = write_clean(_star(_star(links, both=True), both=False), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

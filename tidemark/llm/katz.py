@@ -45,9 +45,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.labelled import held_out
-from tidemark.llm.tables import documents, partitions_for
+from tidemark.llm.tables import documents, partitions_for, write_clean
 from tidemark.llm.words import mix, signed, slices, words_of
-from tidemark.session import materialize
 
 U64 = np.uint64
 #: counts up to this one are discounted
@@ -74,17 +73,6 @@ SCORED = (
 )
 
 
-def write(df: DataFrame, label: str) -> DataFrame:
-    """``materialize``, and the files shuffled for it are removed."""
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        return materialize(df, label)
-    finally:
-        spark.conf.set(key, before)
-
-
 @dataclass
 class Discounts:
     """Discounts of one order: ``factor[r]`` for counts r up to the cut, 1 beyond."""
@@ -355,7 +343,7 @@ def frequent_contexts(docs: DataFrame, total_bytes: int, buckets: int) -> np.nda
         return np.array([BEGIN], dtype=U64)
     every = max(1, total_bytes // (buckets * SAMPLE_BYTES))
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
-    counts = write(some.mapInArrow(word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sampled-words")
+    counts = write_clean(some.mapInArrow(word_rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sampled-words")
     least = (counts.agg(F.sum("n")).first()[0] or 0) / (SHARE * buckets)
     found = [r.word for r in counts.where(F.col("n") > least).select("word").collect()]
     return np.unique(np.array([BEGIN, *np.array(found, dtype=np.int64).view(U64)], dtype=U64))
@@ -410,13 +398,13 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     dealt = dealt.repartition(tasks, "block")
     sent = dealt.groupBy("block").applyInArrow(messages(buckets, frequent), MESSAGES)
     counted = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(count_bucket(frequent), COUNTED)
-    counted = write(counted, "pair-counts")
+    counted = write_clean(counted, "pair-counts")
     model, contexts = fit(counted, frequent)
     answers = counted.where("block is not null").select("block", "bucket", "pairs", "totals", "leasts")
     asked = answers.repartition(tasks, "block").groupBy("block")
-    scored = write(dealt.groupBy("block").cogroup(asked).applyInArrow(score_block(buckets, model), SCORED), "pair-scores")
+    scored = write_clean(dealt.groupBy("block").cogroup(asked).applyInArrow(score_block(buckets, model), SCORED), "pair-scores")
     mass = scored.where("context is not null").groupBy("context").agg(F.sum("mass").alias("mass"))
-    weights = write(contexts.join(mass, "context").select("context", F.log10(F.col("left") / (1 - F.col("mass"))).alias("weight")), "weights")
+    weights = write_clean(contexts.join(mass, "context").select("context", F.log10(F.col("left") / (1 - F.col("mass"))).alias("weight")), "weights")
     rows = scored.where("context is null").drop("context", "mass")
     asked = rows.where(F.size("open") > 0).select("block", "place", F.explode("open").alias("context"))
     asked = asked.groupBy("block", "place", "context").agg(F.count("*").alias("times")).join(weights, "context")

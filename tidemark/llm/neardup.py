@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import list_array, shingle_sets
-from tidemark.llm.tables import documents
+from tidemark.llm.tables import documents, write_clean
 from tidemark.llm.words import WORD_BASES, mix, segment_hash, signed, slices
 from tidemark.session import materialize
 
@@ -251,8 +251,8 @@ def hot_links(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: int
     of rows that grows with theirs; then only documents that they do not explain are
     compared with whole lists.
     """
-    rows = materialize(hot_rows(hot, similarity), "hot-rows")
-    links = materialize(known.unionByName(met_links(first_meetings(rows), sets, similarity)), "first-links")
+    rows = write_clean(hot_rows(hot, similarity), "hot-rows")
+    links = write_clean(known.unionByName(met_links(first_meetings(rows), sets, similarity)), "first-links")
     if rows.where("blocks > 1").isEmpty():
         return links
     rest = further_meetings(rows, connected_components(links))
@@ -267,7 +267,7 @@ def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity
     lengths = posted.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     met = posted.join(lengths, "value")
     hot_count = met.groupBy(*CLASS).agg(F.sum((F.col("length") > LIST).cast("int")).alias("hot"))
-    met = materialize(met.join(hot_count, CLASS), "postings")
+    met = write_clean(met.join(hot_count, CLASS), "postings")
     short = met.where(F.col("length") <= LIST).drop("length")
     a, b = [short.select(*[F.col(c).alias(f"{c}_{x}" if c != "value" else c) for c in short.columns]) for x in "ab"]
     close = F.expr(f"100 * least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
@@ -287,7 +287,7 @@ def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity
     # the j-th shared hash stands at rank_a + rank_b - j of the union
     in_union = F.size(F.filter("at", lambda x, j: x - (j + 1) <= SKETCH))
     pairs = pairs.where(in_union + F.col("hot") >= needed(F.greatest("n_a", "n_b"), similarity)).select(*both_ways, "n_a", "n_b")
-    pairs = materialize(pairs, "pairs")
+    pairs = write_clean(pairs, "pairs")
     in_hot = met.where(F.col("hot") >= needed(F.col("n"), similarity)).select("id")
     ids = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id")))
     sets = (
@@ -295,6 +295,8 @@ def confirmed_links(docs: DataFrame, sketched: DataFrame, width: int, similarity
         .join(ids.unionByName(in_hot).distinct(), "id", "left_semi")
         .mapInArrow(set_rows(width), SETS)
     )
+    # written, so that texts are shuffled once for all that looks at sets
+    sets = write_clean(sets, "sets")
     one, two = [sets.select(*[F.col(c).alias(f"{c}_{x}") for c in CLASS], F.col("shingles").alias(f"set_{x}")) for x in "ab"]
     both = F.size(F.array_intersect("set_a", "set_b"))
     links = (
