@@ -164,7 +164,7 @@ def heads(spark):
 
 
 @pytest.mark.parametrize("keys", [["tx_datetime", "transaction_id"], ["day", "transaction_id"], ["far", "transaction_id"], ["day", "name", "tx_amount", "transaction_id"], ["tx_amount"]])
-@pytest.mark.parametrize("n", [1, 100, 857, 858, 930, 1000, 5000])
+@pytest.mark.parametrize("n", [1, 857, 930, 5000])
 def test_heads_by_counting(spark, keys, n):
     df = heads(spark)
     columns = [F.col(k) for k in keys]
