@@ -66,7 +66,9 @@ def bootstrap_by_rows(predictions: DataFrame, iterations: int = 100, seed: int =
     small = n <= BROADCAST_ROWS and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
     packed = F.broadcast(packed) if small else packed.hint("shuffle_hash")
     picks = draws(spark, n, iterations, seed)
-    picks = picks.select("iter_id", F.expr(f"row_id div {rows}").alias("block"), (F.col("row_id") % rows).cast("int").alias("place"))
+    # said to be never null, as in draws(): a join would otherwise filter on the whole draw expression
+    block = F.coalesce(F.expr(f"row_id div {rows}"), F.lit(0).cast("long"))
+    picks = picks.select("iter_id", block.alias("block"), (F.col("row_id") % rows).cast("int").alias("place"))
     found = picks.join(packed, "block").select("iter_id", F.get("cells", F.col("place")).alias("cell"))
     return found.groupBy("iter_id").agg(*[F.count_if(F.col("cell") == i).alias(name) for i, name in enumerate(CELLS)])
 
