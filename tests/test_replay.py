@@ -116,3 +116,26 @@ def test_a_failing_sink_ends_the_replay(spark):
 
     with pytest.raises(Exception, match="sink is closed"):
         R.start_paced(transactions(spark, SMALL), Broken(), "t", scratch_path(spark, "c"), 0, trigger=FAST).finish(60)
+
+
+def test_a_long_replay_puts_spans_together(spark, monkeypatch):
+    """Beyond so many spans a micro-batch holds several, still a batch each, in order, and none twice."""
+    monkeypatch.setattr(R, "ROUNDS", 10)
+    tx = transactions(spark, SMALL)
+    table = R.lay_out(tx, rate=10)  # 100 spans
+    sink, offsets = FileSink(scratch_path(spark, "paced")), scratch_path(spark, "offsets")
+    assert table.at_once() == 10 and R.waits(None) and R.waits({"processingTime": "2 seconds"})
+    # some were published before the job ended, the checkpoint does not know of them
+    assert sink.write_batch(table.span(spark, 4), "t", R.batch_name(4))
+    replay = R.PacedReplay(spark, table, sink, "t", offsets, FAST)
+    assert replay.finish(120)
+    assert replay.query.lastProgress["batchId"] <= 13
+    ids = [str(r.transaction_id) for r in tx.orderBy("tx_datetime", "transaction_id").select("transaction_id").collect()]
+    got = sink.read_batches(spark).collect()
+    assert len(got) == 1000 and {r.key: int(r.batch) for r in got} == {k: i // 10 for i, k in enumerate(ids)}
+    in_file = spark.read.parquet(f"{sink.root}/topic=t/batch={R.batch_name(57)}").collect()
+    assert [r.key for r in in_file] == ids[570:580]
+    assert not sink.write_batches(table.spans(spark, [3, 4]).withColumn("batch", F.lpad("span", 12, "0")), "t", [R.batch_name(3), R.batch_name(4)])
+    assert table.spans(spark, [100, 101]) is None
+    # a span of many rows is published alone
+    assert R.PacedTable("", 1, 10**6, 10**6).at_once() == 1 and R.PacedTable("", 1, 10**6, 2401).at_once() == 208

@@ -20,6 +20,9 @@ from tidemark.sources.paths import path_exists
 # Fixed value: default pace of a replay.
 DEFAULT_RATE = 50
 
+#: micro-batches after which a replay that does not wait puts several spans in one, and rows that one may hold then
+ROUNDS, ROWS_AT_ONCE = 100, 500_000
+
 LAID_OUT = "key string, value string, seq long, slot long"
 
 
@@ -87,12 +90,25 @@ class PacedTable:
     path: str
     every: int
     last: int  # the last span
+    rows: float = ROWS_AT_ONCE  # of a full span
 
     def span(self, spark: SparkSession, number: int) -> DataFrame | None:
         """The messages of one span, read from its folder alone; None if nothing is due in it."""
         folder = f"{self.path}/span={number}"
         return spark.read.schema(LAID_OUT).parquet(folder) if path_exists(spark, folder) else None
 
+    def spans(self, spark: SparkSession, numbers: list[int]) -> DataFrame | None:
+        """The messages of several spans with their ``span``, in order within a file; None if nothing is due in them."""
+        folders = [f"{self.path}/span={n}" for n in numbers]
+        folders = [f for f in folders if path_exists(spark, f)]
+        if not folders:
+            return None
+        return spark.read.schema(f"{LAID_OUT}, span long").option("basePath", self.path).parquet(*folders)
+
+    def at_once(self) -> int:
+        """Spans of a micro-batch where none waits for the next."""
+        return max(1, min((self.last + 1) // ROUNDS, int(ROWS_AT_ONCE / max(1.0, self.rows))))
+
 
 def lay_out(df: DataFrame, rate: float = DEFAULT_RATE, every: int = 1, key: str = "transaction_id") -> PacedTable:
     """Write the messages of ``df`` in the spans they are due in, in order within a file.
@@ -112,32 +128,53 @@ def lay_out(df: DataFrame, rate: float = DEFAULT_RATE, every: int = 1, key: str
     path = scratch_path(spark, "paced")
     sent.sortWithinPartitions("span", "seq").write.partitionBy("span").parquet(path)
     last = spark.read.schema(f"{LAID_OUT}, span long").parquet(path).agg(F.max("slot")).first()[0]
-    return PacedTable(path, every, last // every)
+    return PacedTable(path, every, last // every, rate * every if rate > 0 else ROWS_AT_ONCE)
+
+
+def batch_name(span: int) -> str:
+    return f"{span:012d}"
+
+
+def waits(trigger: dict | None) -> bool:
+    """Whether micro-batches come at a pace; with a processing time of 0 one follows the other."""
+    return not trigger or str(trigger.get("processingTime", "")).split(" ")[0] != "0"
 
 
 class PacedReplay:
-    """A running replay: each micro-batch publishes one span and reads nothing else.
+    """A running replay: each micro-batch publishes the span it is the time for and reads nothing else.
 
     The source is a counter whose offset is the span, so the checkpoint knows how
     far the replay came. A span is a named batch of the sink: one that was published
-    when the job ended is not published again by the job that goes on.
+    when the job ended is not published again by the job that goes on. A long replay
+    that does not wait between micro-batches publishes several spans in each, still a
+    batch each: the number of micro-batches does not grow with it then, until they are
+    full.
     """
 
     def __init__(self, spark: SparkSession, table: PacedTable, sink, topic: str, checkpoint: str, trigger: dict | None = None):
         self.table, self.sink, self.topic = table, sink, topic
         self._ended = threading.Event()
-        counter = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+        spans = 1 if waits(trigger) else table.at_once()
+        counter = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", spans).option("numPartitions", 1).load()
         writer = counter.select("value").writeStream.foreachBatch(self._publish)
         pace = trigger or {"processingTime": f"{table.every} seconds"}
         self.query: StreamingQuery = writer.option("checkpointLocation", checkpoint).trigger(**pace).start()
 
     def _publish(self, due: DataFrame, number: int) -> None:
-        # one row: the counter gives one number in each micro-batch
-        for row in due.collect():
-            if row.value > self.table.last:  # so the batch of the last span is in the checkpoint
-                self._ended.set()
-            elif (messages := self.table.span(due.sparkSession, row.value)) is not None:
-                self.sink.write_batch(messages, self.topic, f"{row.value:012d}")
+        # the counter gives as many numbers as a micro-batch has spans
+        spans = sorted(row.value for row in due.collect())
+        own = [n for n in spans if n <= self.table.last]
+        if len(own) > 1:
+            self._publish_several(due.sparkSession, own)
+        elif own and (messages := self.table.span(due.sparkSession, own[0])) is not None:
+            self.sink.write_batch(messages, self.topic, batch_name(own[0]))
+        if len(own) < len(spans):  # so the batch of the last span is in the checkpoint
+            self._ended.set()
+
+    def _publish_several(self, spark: SparkSession, spans: list[int]) -> None:
+        if (messages := self.table.spans(spark, spans)) is not None:
+            named = messages.withColumn("batch", F.lpad(F.col("span").cast("string"), 12, "0"))
+            self.sink.write_batches(named.sortWithinPartitions("batch", "seq"), self.topic, [batch_name(n) for n in spans])
 
     def finish(self, seconds: float | None = None) -> bool:
         """Wait until the last row is published, or so long; then stop. True if the replay came to its end.

@@ -22,6 +22,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return _system(spark, own).exists(own)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    own = _path(spark, path)
+    _system(spark, own).delete(own, True)
+
+
 def rename_new(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder to a name that nothing has; False, and the source is gone, if something has it."""
     jvm, old, new = spark.sparkContext._jvm, _path(spark, source), _path(spark, target)

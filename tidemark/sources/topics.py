@@ -16,9 +16,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.sources.paths import path_exists, rename_new
+from tidemark.sources.paths import path_exists, remove, rename_new
 
 # The login module, and the time between micro-batches.
 LOGIN_MODULE = "org.apache.kafka.common.security.scram.ScramLoginModule"
@@ -87,6 +88,11 @@ class TopicSink:
         messages.select("key", "value").write.format("kafka").options(**self.broker.options()).option("topic", topic).save()
         return True
 
+    def write_batches(self, messages: DataFrame, topic: str, batches: list[str]) -> int:
+        """Send the batches that a column ``batch`` names; how many."""
+        self.write_batch(messages, topic)
+        return len(batches)
+
 
 #: below the folder of a file sink; names that begin so are skipped by readers
 STAGING = "_staging"
@@ -126,6 +132,24 @@ class FileSink:
         messages.select("key", "value").write.parquet(staged)
         return rename_new(spark, staged, target)
 
+    def write_batches(self, messages: DataFrame, topic: str, batches: list[str]) -> int:
+        """Add the named batches that a column ``batch`` tells apart; how many were not there already.
+
+        All are staged by one job. They become visible in the order of ``batches``, each
+        by one rename, as by :meth:`write_batch`; a batch without rows is none.
+        """
+        spark, folder = messages.sparkSession, f"{self.root}/topic={topic}"
+        new = [b for b in batches if not path_exists(spark, f"{folder}/batch={b}")]
+        if not new:
+            return 0
+        staged = f"{self.root}/{STAGING}/{topic}-{uuid.uuid4().hex}"
+        own = messages if len(new) == len(batches) else messages.where(F.col("batch").isin(new))
+        own.select("key", "value", "batch").write.partitionBy("batch").parquet(staged)
+        made = [b for b in new if path_exists(spark, f"{staged}/batch={b}")]
+        added = sum(rename_new(spark, f"{staged}/batch={b}", f"{folder}/batch={b}") for b in made)
+        remove(spark, staged)
+        return added
+
     def read_batches(self, spark: SparkSession) -> DataFrame:
         """(key, value, topic, batch) of all batches that were added."""
         return spark.read.schema(BATCH_FRAME).parquet(self.root)
