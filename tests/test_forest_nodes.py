@@ -89,3 +89,12 @@ def test_a_taken_number_is_not_overwritten(spark):
     assert publish_new(spark, "first", path) and not publish_new(spark, "second", path)
     assert [r.value for r in spark.read.text(path).collect()] == ["first"]
     assert spark.read.text(path.rsplit("/", 1)[0]).count() == 1
+
+
+def test_trees_are_joined_with_blocks_of_rows(spark, stored):
+    """A row does not carry the trees: they are joined with blocks, which are walked outside of expressions."""
+    _, nodes = stored
+    test = inputs.test_side(spark, SMALL)
+    plan = N.score_by_nodes(test, nodes, MODEL_FEATURES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "lambda" not in plan.split("Join")[0]
+    assert N.score_by_nodes(test.limit(0), nodes, MODEL_FEATURES).count() == 0

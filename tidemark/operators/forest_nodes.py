@@ -1,16 +1,23 @@
 """A stored forest as a table of nodes, and scores by walking it.
 
-This needs no model object: the nodes are read from the stored pipeline, and the
-walk is expressions over arrays, so scores can be made and checked wherever the
-table can be read. Trees are packed into groups of bounded size. One group, as
-forests of the default size are, adds no shuffle and works on streams; with more,
-each row meets every group once and the groups' votes are added up.
+This needs no model object: the nodes are read from the stored pipeline, so scores
+can be made and checked wherever the table can be read. Rows are put into blocks, a
+block is joined with the trees, and all its rows walk a tree at once in numpy, so the
+trees are copied for a block and not for a row. Trees are packed into groups of
+bounded size. One group, as forests of the default size are, adds no shuffle and
+works on streams; with more, each block meets every group once and the groups' votes
+are added up.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scoring import flag
 
@@ -55,15 +62,43 @@ def packed_trees(nodes: DataFrame) -> DataFrame:
     return packed.groupBy("group").agg(F.array_sort(F.collect_list("one")).alias("trees"))
 
 
-def _leaf(tree: Column, values: Column, depth: int) -> Column:
-    """The number of the leaf that a row of features comes to."""
-
-    def step(node: Column, _: Column) -> Column:
-        goes_left = F.get(values, F.get(tree["feature"], node)) <= F.get(tree["threshold"], node)
-        below = F.when(goes_left, F.get(tree["left"], node)).otherwise(F.get(tree["right"], node))
-        return F.when(F.get(tree["left"], node) < 0, node).otherwise(below)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step)
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each batch: its rows as an array."""
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, batch.num_rows], rows)], ["block"])
+
+
+def _leaves(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The number of the leaf that each row of features comes to."""
+    node = np.zeros(len(x), dtype=np.int64)
+    inner = np.arange(len(x)) if tree["left"][0] >= 0 else np.zeros(0, dtype=np.int64)
+    while len(inner):
+        at = node[inner]
+        goes_left = x[inner, tree["feature"][at]] <= tree["threshold"][at]
+        at = node[inner] = np.where(goes_left, tree["left"][at], tree["right"][at])
+        inner = inner[tree["left"][at] >= 0]
+    return node
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block with the votes of the trees it was joined with, added in the order of the trees."""
+    for batch in batches:
+        blocks, groups = batch.column("block"), batch.column("trees")
+        for i in range(batch.num_rows):
+            rows = pa.RecordBatch.from_struct_array(blocks[i].values)
+            x = rows.column("_x").flatten().to_numpy().reshape(rows.num_rows, -1)
+            zeros, ones = np.zeros(len(x)), np.zeros(len(x))
+            trees = groups[i].values
+            parts = {c: trees.field(c) for c in TREE}
+            for t in range(len(trees)):
+                tree = {c: part[t].values.to_numpy(zero_copy_only=False) for c, part in parts.items()}
+                leaf = _leaves(tree, x)
+                zeros += tree["zeros"][leaf]
+                ones += tree["ones"][leaf]
+            kept = [c for c in rows.schema.names if c != "_x"]
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(zeros), pa.array(ones)], [*kept, "_zeros", "_ones"])
 
 
 def score_by_nodes(df: DataFrame, nodes: DataFrame, features, threshold: float = 0.5) -> DataFrame:
@@ -71,24 +106,19 @@ def score_by_nodes(df: DataFrame, nodes: DataFrame, features, threshold: float =
 
     Rows with a null or NaN feature are left out, as by the pipeline.
     """
-    sizes = nodes.groupBy("tree").agg(F.count("*").alias("n")).agg(F.sum("n"), F.max("n"), F.count("*")).first()
+    size = nodes.count()
     packed = packed_trees(nodes)
     groups = packed.agg(F.max("group")).first()[0] + 1
-    packed = F.broadcast(packed) if sizes[0] <= NODES_BROADCAST else packed
-    # a tree of n nodes is at most (n - 1) / 2 deep, and never deeper than the search space allows
-    depth = max(1, min((sizes[1] - 1) // 2, 30))
+    packed = F.broadcast(packed) if size <= NODES_BROADCAST else packed
     values = F.array(*[F.col(c).cast("double") for c in features])
     whole = df.withColumn("_x", values).where(~F.exists("_x", lambda x: x.isNull() | F.isnan(x)))
     if groups > 1:
         whole = whole.withColumn("_row", F.struct(F.monotonically_increasing_id(), F.xxhash64(*df.columns)))
-    met = whole.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(packed, "group")
-    leaves = F.transform("trees", lambda t: F.struct(t["zeros"].alias("zeros"), t["ones"].alias("ones"), _leaf(t, F.col("_x"), depth).alias("leaf")))
-    met = met.withColumn("_leaves", leaves).drop("trees", "_x", "group")
-
-    def votes(kind: str) -> Column:
-        return F.aggregate("_leaves", F.lit(0.0), lambda a, t: a + F.get(t[kind], t["leaf"]))
-
-    voted = met.withColumns({"_zeros": votes("zeros"), "_ones": votes("ones")}).drop("_leaves")
+    blocks = whole.mapInArrow(_blocks, T.StructType([T.StructField("block", T.ArrayType(whole.schema))]))
+    met = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(packed, "group")
+    votes = [T.StructField(c, T.DoubleType()) for c in ("_zeros", "_ones")]
+    kept = [f for f in whole.schema if f.name != "_x"]
+    voted = met.select("block", "trees").mapInArrow(_votes, T.StructType([*kept, *votes]))
     if groups > 1:
         rest = [F.first(F.struct(*df.columns)).alias("_df")]
         voted = voted.groupBy("_row").agg(F.sum("_zeros").alias("_zeros"), F.sum("_ones").alias("_ones"), *rest)
