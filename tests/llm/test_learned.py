@@ -165,6 +165,41 @@ def test_forest_isolates_the_odd_row():
     assert isolation.grow(x[:1]) is None and isolation.grow(np.zeros((5, 2))).scores(np.zeros((2, 2))).shape == (2,)
 
 
+def test_rules_learn_from_all_rows(spark):
+    """Each row is in a tree, and the cut is the one of all labelled rows, beyond any sample of them."""
+    random = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)] + ["#", "A$", "9!"]
+    texts = [" ".join(random.choice(words, 60, p=[(1 - s) / 400] * 400 + [s / 3] * 3)) for s in random.beta(1, 8, 5200)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stats = dict(zip((*isolation.COUNTS, *isolation.EXTRA), isolation.statistics(pa.array(texts)), strict=True))
+    x, failed = isolation.features(stats), isolation.base_failed(stats)
+    quality = (x[:, 0] + random.normal(0, 0.05, len(x)) < 0.1).astype(int)
+    labels = spark.createDataFrame([(i, int(q), 0, "") for i, q in enumerate(quality)], LABELS)
+    forest = isolation.train(docs, labels)
+    assert len(set(quality[~failed])) == 2 and (~failed).sum() > 5000
+    cut = -best_cut(-forest.scores(x[~failed]), quality[~failed], isolation.LOSS)
+    assert forest.cut == pytest.approx(cut, abs=1e-12)
+    # the trees see the ends of every feature: a row beyond all others moves a split
+    odd = docs.unionByName(spark.createDataFrame([(10**6, "!" * 300)], "doc_id long, text string"))
+    assert not np.array_equal(isolation.train(odd, labels).split, forest.split)
+    taught = isolation.lessons(isolation.measured(docs), labels)
+    share = -(-isolation.LEAST_ROWS * isolation.TREES // len(rows))
+    assert isolation.gatherer(taught)(forest, share, 0).rows.sum() == share * len(rows)
+
+
+@pytest.mark.parametrize("decimals", [1, 2, 6])
+def test_cut_of_all_rows(spark, decimals, monkeypatch):
+    monkeypatch.setattr(isolation, "BLOCKS", 16)
+    random = np.random.default_rng(decimals)
+    y = random.integers(0, 2, 300)
+    for shift, labels in ((0.3, y), (0.0, y), (-0.9, y), (0.3, y * 0)):
+        score = np.round(np.clip(0.5 + shift * (0.5 - labels) + random.normal(0, 0.1, 300), 0, 1), decimals)
+        df = spark.createDataFrame([*zip(score.tolist(), labels.tolist(), strict=True)], "anomaly double, label int")
+        want = -best_cut(-score, labels, 4.0) if labels.any() else None
+        assert isolation.cut_of(df, 4.0) == (want if want is None else pytest.approx(want, abs=1e-12))
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
