@@ -5,18 +5,21 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidemark.checks import inputs
-from tidemark.functions import cleaning
+from tidemark.functions import cleaning, messages
+from tidemark.functions.calendar import add_features
 from tidemark.functions.scoring import apply_scorer
 from tidemark.operators import forest_nodes as N
-from tidemark.operators.forest import ForestParams, fit_forest
+from tidemark.operators.forest import ForestParams, fit_forest, forest_pipeline
 from tidemark.operators.registry import Registry
 from tidemark.schema import MODEL_FEATURES
 from tidemark.session import scratch_path
 from tidemark.sources.models import save_model
+from tidemark.streaming.scoring import score_messages
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +59,38 @@ def test_a_tree_of_one_leaf(spark):
     assert rows(N.score_by_nodes(same, nodes, ["a"])) == rows(apply_scorer(same, model))
 
 
+def test_many_rows_are_scored_by_nodes(spark, stored):
+    """A stream's scores are the model's, digit by digit, by arrays of nodes and not by the model for one row at a time."""
+    model, _ = stored
+    test = inputs.test_side(spark, SMALL)
+    gaps = test.withColumn("tx_amount", F.when(F.col("transaction_id") % 11 > 0, F.col("tx_amount")))
+    gaps = gaps.withColumn("tx_month", F.when(F.col("transaction_id") % 13 == 0, float("nan")).otherwise(F.col("tx_month")))
+    same = spark.createDataFrame([(i, 1.0, i % 2) for i in range(20)], "transaction_id long, a double, tx_fraud int")
+    leaves, _ = fit_forest(same, ForestParams(numTrees=2, maxDepth=3), ["a"])
+    for df, scorer in ((test, model), (gaps, model), (test.limit(0), model), (same, leaves)):
+        assert N.is_plain_forest(scorer)
+        got, want = N.score_forest_rows(df, scorer), apply_scorer(df, scorer)
+        assert got.columns == want.columns and rows(got) == rows(want)
+    parsed = messages.valid_messages(messages.parse_messages(inputs.raw_messages(spark, SMALL)))
+    scored = score_messages(parsed, model).select("transaction_id", "score", "prediction")
+    assert rows(scored) == rows(apply_scorer(add_features(parsed), model))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # each time is parsed once, and the model itself is not called
+    assert "ArrowEvalPython" in plan and "UDF(" not in plan and plan.count("gettimestamp(") == 1
+
+
+def test_other_scorers_keep_their_way(spark, stored):
+    model, _ = stored
+    assert not N.is_plain_forest(inputs.scorer_a()) and not N.is_plain_forest(PipelineModel(model.stages[1:]))
+    kept = model.stages[0].copy().setHandleInvalid("keep")
+    assert not N.is_plain_forest(PipelineModel([kept, model.stages[1]]))
+    # a split by categories has no threshold
+    kind = F.pmod("id", F.lit(4)).cast("double").alias("a", metadata={"ml_attr": {"type": "nominal", "vals": list("0123")}})
+    df = spark.range(400).select(F.col("id").alias("transaction_id"), kind, (F.col("id") % 2).cast("int").alias("tx_fraud"))
+    by_kind = forest_pipeline(ForestParams(numTrees=3, maxDepth=3), ["a"]).fit(df.withColumn("class_weight", F.lit(1.0)))
+    assert rows(N.score_forest_rows(df, by_kind)) == rows(apply_scorer(df, by_kind))
+
+
 def test_each_value_is_converted_once(spark):
     text = cleaning.trim_all(inputs.dirty_transactions(spark, SMALL))
     plan = cleaning.clean_batch(text)._jdf.queryExecution().optimizedPlan().toString()

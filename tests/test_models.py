@@ -190,6 +190,20 @@ def test_large_fits_take_rows_alike_as_one(spark, monkeypatch):
     assert len(fitted) == 2
 
 
+def test_the_nearest_value_is_searched(spark):
+    """Not by a chain of comparisons: that of 32 values in 7 columns is too long for compiled code."""
+    kept = [0.0, 0.1, 0.1 + 2**-56, 5.0, 1e308, 1.7e308]
+    asked = [-1.0, 0.05, 0.1, 2.55, 2.6, 4e307, 1.2e308, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(a,) for a in asked], "a double")
+    column = M.nearest(F.col("a"), kept)
+    chain = F
+    for low, high in zip(kept, kept[1:]):
+        chain = chain.when(F.col("a") <= F.lit((low + high) / 2.0), F.lit(low))
+    got = df.select(column.alias("got"), chain.otherwise(F.lit(kept[-1])).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    assert "CASE" not in df.select(column)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bins_and_bags(spark):
     df = spark.range(5000).select((F.col("id") * F.col("id")).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
     values = M.bin_values(df, ["a", "b"], 5000)

@@ -7,6 +7,9 @@ trees are copied for a block and not for a row. Trees are packed into groups of
 bounded size. One group, as forests of the default size are, adds no shuffle and
 works on streams; with more, each block meets every group once and the groups' votes
 are added up.
+
+Streams of many rows are scored by :func:`score_forest_rows`: the trees go to the
+workers once, and whole batches of rows take a level of a tree at a time.
 """
 
 from __future__ import annotations
@@ -14,12 +17,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.scoring import flag
+from tidemark.functions.scoring import apply_scorer, flag
+from tidemark.session import scratch_path
+from tidemark.sources.models import feature_columns, save_model
 
 #: nodes of a group of trees (some 40 bytes each)
 NODES_PER_GROUP = 1_000_000
@@ -125,3 +135,87 @@ def score_by_nodes(df: DataFrame, nodes: DataFrame, features, threshold: float =
         voted = voted.select("_df.*", "_zeros", "_ones")
     score = F.col("_ones") / (F.col("_zeros") + F.col("_ones"))
     return voted.withColumn("score", score).drop("_zeros", "_ones").withColumn("prediction", flag(F.col("score"), threshold))
+
+
+def is_plain_forest(scorer) -> bool:
+    """Whether a scorer is a pipeline as :func:`forest_pipeline` fits it, with two classes."""
+    stages = scorer.stages if isinstance(scorer, PipelineModel) else []
+    return (
+        len(stages) == 2
+        and isinstance(stages[0], VectorAssembler)
+        and stages[0].getHandleInvalid() == "skip"
+        and isinstance(stages[1], RandomForestClassificationModel)
+        and (stages[1].getFeaturesCol(), stages[1].getProbabilityCol()) == (stages[0].getOutputCol(), "probability")
+        and (stages[1].numFeatures, stages[1].numClasses) == (len(stages[0].getInputCols()), 2)
+        and stages[1].totalNumNodes <= NODES_BROADCAST
+    )
+
+
+def walking_trees(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
+    """Arrays by node number for each tree, in order. A leaf is its own child, so that all rows take as many steps."""
+    trees = []
+    for _, tree in nodes.sort_values(["tree", "node"]).groupby("tree"):
+        at = np.arange(len(tree))
+        leaf = tree["left"].to_numpy() < 0
+        # children side by side, the left one first
+        child = np.where(leaf[:, None], at[:, None], tree[["left", "right"]].to_numpy()).astype(np.int64)
+        parents, depth = np.zeros(1, dtype=np.int64), 0
+        while not leaf[parents].all():
+            parents, depth = child[parents[~leaf[parents]]].ravel(), depth + 1
+        trees.append(
+            {
+                "feature": np.where(leaf, 0, tree["feature"].to_numpy()).astype(np.int64),
+                "threshold": tree["threshold"].to_numpy(),
+                "child": child.ravel(),
+                "zeros": tree["zeros"].to_numpy(),
+                "ones": tree["ones"].to_numpy(),
+                "depth": np.int64(depth),
+            }
+        )
+    return trees
+
+
+def walked_score(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Scores of rows by their features (a row of ``x`` for each feature); votes are added in the order of the trees."""
+    rows = x.shape[1]
+    flat, place = np.ascontiguousarray(x).ravel(), np.arange(rows)
+    zeros, ones = np.zeros(rows), np.zeros(rows)
+    for tree in trees:
+        node, start = np.zeros(rows, dtype=np.int64), tree["feature"] * rows
+        for _ in range(tree["depth"]):
+            value = flat.take(start.take(node) + place)
+            node = tree["child"].take(2 * node + (value > tree["threshold"].take(node)))
+        zeros += tree["zeros"].take(node)
+        ones += tree["ones"].take(node)
+    total = zeros + ones
+    return np.divide(ones, total, out=np.zeros(rows), where=total > 0)
+
+
+def walked_column(trees: Broadcast, features: list[str]) -> Column:
+    """The score of rows whose features are all there."""
+
+    @F.pandas_udf("double")
+    def score(*values: pd.Series) -> pd.Series:
+        return pd.Series(walked_score(trees.value, np.stack([v.to_numpy(dtype="float64") for v in values])))
+
+    return score(*[F.col(c).cast("double") for c in features])
+
+
+def score_forest_rows(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """:func:`apply_scorer` for many rows of a plain forest, with the same scores.
+
+    MLlib takes one row at a time from node to node, some 1000 steps over the heap for
+    a default forest. Here the nodes are read from the stored model and sent to
+    all tasks as arrays.
+    """
+    spark, features = df.sparkSession, feature_columns(model)
+    path = save_model(model, scratch_path(spark, "nodes"))
+    if not spark.read.parquet(f"{path}/stages/1_*/data").filter("nodeData.split.numCategories > 0").isEmpty():
+        return apply_scorer(df, model)
+    trees = spark.sparkContext.broadcast(walking_trees(forest_nodes(spark, path).toPandas()))
+    # rows with gaps are skipped, as by the pipeline; of filled columns nothing is left to check
+    whole, kinds = df, dict(df.dtypes)
+    for c in features:
+        whole = whole.filter(F.col(c).isNotNull())
+        whole = whole.filter(~F.isnan(c)) if kinds[c] in ("float", "double") else whole
+    return apply_scorer(whole, walked_column(trees, features)).select(*df.columns, "prediction", "score")

@@ -25,6 +25,7 @@ from tidemark.functions.messages import (
     valid_messages,
 )
 from tidemark.functions.scoring import add_latency, apply_scorer
+from tidemark.operators.forest_nodes import is_plain_forest, score_forest_rows
 from tidemark.schema import MODEL_FEATURES, NUMERIC_TYPES, require_columns
 from tidemark.sources.topics import start_write
 
@@ -39,7 +40,8 @@ DEFAULT_RUN_SECONDS = 300
 def score_messages(parsed: DataFrame, scorer, features=MODEL_FEATURES, processed_at=None) -> DataFrame:
     """Features, score, flag and latency for parsed messages."""
     featured = require_columns(add_features(parsed), features, "message stream")
-    return add_latency(apply_scorer(featured, scorer), processed_at)
+    scored = score_forest_rows(featured, scorer) if is_plain_forest(scorer) else apply_scorer(featured, scorer)
+    return add_latency(scored, processed_at)
 
 
 def branches(raw: DataFrame, scorer, features=MODEL_FEATURES) -> tuple[DataFrame, DataFrame]:
