@@ -175,28 +175,24 @@ def walking_trees(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def walked_score(trees: list[dict[str, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """Scores of rows by their features (a row of ``x`` for each feature); votes are added in the order of the trees."""
-    rows = x.shape[1]
-    flat, place = np.ascontiguousarray(x).ravel(), np.arange(rows)
-    zeros, ones = np.zeros(rows), np.zeros(rows)
-    for tree in trees:
-        node, start = np.zeros(rows, dtype=np.int64), tree["feature"] * rows
-        for _ in range(tree["depth"]):
-            value = flat.take(start.take(node) + place)
-            node = tree["child"].take(2 * node + (value > tree["threshold"].take(node)))
-        zeros += tree["zeros"].take(node)
-        ones += tree["ones"].take(node)
-    total = zeros + ones
-    return np.divide(ones, total, out=np.zeros(rows), where=total > 0)
-
-
 def walked_column(trees: Broadcast, features: list[str]) -> Column:
-    """The score of rows whose features are all there."""
+    """The score of rows whose features are all there; votes are added in the order of the trees."""
 
     @F.pandas_udf("double")
     def score(*values: pd.Series) -> pd.Series:
-        return pd.Series(walked_score(trees.value, np.stack([v.to_numpy(dtype="float64") for v in values])))
+        rows = len(values[0])
+        # all values of a feature, then of the next
+        flat, place = np.concatenate([v.to_numpy(dtype="float64") for v in values]), np.arange(rows)
+        zeros, ones = np.zeros(rows), np.zeros(rows)
+        for tree in trees.value:
+            node, start = np.zeros(rows, dtype=np.int64), tree["feature"] * rows
+            for _ in range(tree["depth"]):
+                value = flat.take(start.take(node) + place)
+                node = tree["child"].take(2 * node + (value > tree["threshold"].take(node)))
+            zeros += tree["zeros"].take(node)
+            ones += tree["ones"].take(node)
+        total = zeros + ones
+        return pd.Series(np.divide(ones, total, out=np.zeros(rows), where=total > 0))
 
     return score(*[F.col(c).cast("double") for c in features])
 
