@@ -76,7 +76,7 @@ def test_many_rows_are_scored_by_nodes(spark, stored):
     assert rows(scored) == rows(apply_scorer(add_features(parsed), model))
     plan = scored._jdf.queryExecution().executedPlan().toString()
     # each time is parsed once, and the model itself is not called
-    assert "ArrowEvalPython" in plan and "UDF(" not in plan and plan.count("gettimestamp(") == 1
+    assert "MapInArrow" in plan and "UDF(" not in plan and plan.count("gettimestamp(") == 1
 
 
 def test_other_scorers_keep_their_way(spark, stored):

@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,26 +175,28 @@ def walking_trees(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def walked_column(trees: Broadcast, features: list[str]) -> Column:
-    """The score of rows whose features are all there; votes are added in the order of the trees."""
+def walked_rows(trees: Broadcast):
+    """Adds the score to rows whose features are all there; votes are added in the order of the trees."""
 
-    @F.pandas_udf("double")
-    def score(*values: pd.Series) -> pd.Series:
-        rows = len(values[0])
-        # all values of a feature, then of the next
-        flat, place = np.concatenate([v.to_numpy(dtype="float64") for v in values]), np.arange(rows)
-        zeros, ones = np.zeros(rows), np.zeros(rows)
-        for tree in trees.value:
-            node, start = np.zeros(rows, dtype=np.int64), tree["feature"] * rows
-            for _ in range(tree["depth"]):
-                value = flat.take(start.take(node) + place)
-                node = tree["child"].take(2 * node + (value > tree["threshold"].take(node)))
-            zeros += tree["zeros"].take(node)
-            ones += tree["ones"].take(node)
-        total = zeros + ones
-        return pd.Series(np.divide(ones, total, out=np.zeros(rows), where=total > 0))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            # all values of a feature, then of the next
+            flat = batch.column("_x").flatten().to_numpy().reshape(rows, -1).T.ravel() if rows else np.zeros(0)
+            place, zeros, ones = np.arange(rows), np.zeros(rows), np.zeros(rows)
+            for tree in trees.value if rows else []:
+                node, start = np.zeros(rows, dtype=np.int64), tree["feature"] * rows
+                for _ in range(tree["depth"]):
+                    value = flat.take(start.take(node) + place)
+                    node = tree["child"].take(2 * node + (value > tree["threshold"].take(node)))
+                zeros += tree["zeros"].take(node)
+                ones += tree["ones"].take(node)
+            total = zeros + ones
+            score = pa.array(np.divide(ones, total, out=np.zeros(rows), where=total > 0))
+            kept = [c for c in batch.schema.names if c != "_x"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], score], [*kept, "_score"])
 
-    return score(*[F.col(c).cast("double") for c in features])
+    return walk
 
 
 def score_forest_rows(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -214,4 +216,7 @@ def score_forest_rows(df: DataFrame, model: PipelineModel) -> DataFrame:
     for c in features:
         whole = whole.filter(F.col(c).isNotNull())
         whole = whole.filter(~F.isnan(c)) if kinds[c] in ("float", "double") else whole
-    return apply_scorer(whole, walked_column(trees, features)).select(*df.columns, "prediction", "score")
+    walked = whole.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features])).mapInArrow(
+        walked_rows(trees), T.StructType([*whole.schema, T.StructField("_score", T.DoubleType())])
+    )
+    return apply_scorer(walked, F.col("_score")).select(*df.columns, "prediction", "score")
