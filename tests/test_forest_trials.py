@@ -7,6 +7,9 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from tests.compare import differences, oracle_frame
+from tests.conftest import SMALL
 from tidemark.functions.scoring import apply_scorer
 from tidemark.operators import forest as M
 from tidemark.operators import forest_trials as T
@@ -103,3 +106,10 @@ def test_subset_sizes_are_mllibs():
     assert [sizes[s, 7] for s in M.SUBSETS] == [3, 3, 3, 3] and [sizes[s, 10] for s in M.SUBSETS] == [4, 4, 4, 4]
     assert [sizes[s, 1] for s in M.SUBSETS] == [1, 1, 1, 1] and [sizes[s, 9] for s in M.SUBSETS] == [3, 3, 4, 3]
     assert T.subset_size("auto", 1, 7) == 7
+
+
+def test_the_check_of_the_search_gives_its_sql(spark, monkeypatch):
+    """All twenty trials of the default search, without a fit of MLlib's for each."""
+    monkeypatch.setattr(M, "fit_forest", lambda *rest: pytest.fail("fitted one after the other"))
+    found = queries()["tune_trials_check"](spark, SMALL).toPandas()
+    assert differences(found, oracle_frame(oracle_sql()["tune_trials_check"], SMALL)) is None
