@@ -11,7 +11,7 @@ The trees follow MLlib's rules: BINS values of a feature are told apart; each tr
 row a Poisson(1) number of times; each node looks at a random subset of the features and
 takes the cut with the largest gain in weighted Gini impurity that leaves enough rows on
 both sides; leaves that say the same as their sibling are merged with it. A tree on all
-rows and features is the one MLlib grows.
+rows and features is the one MLlib grows, but for cuts of equal gain, which rounding decides.
 """
 
 from __future__ import annotations
